@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphspark.queries import graph, indexing
+
 FLAGSHIP = "explore_d2"
+_FAMILIES = (graph, indexing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: f for family in _FAMILIES for k, f in family.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for family in _FAMILIES for k, s in family.SQL.items()}
