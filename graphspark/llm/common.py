@@ -2,39 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphspark.plans.scratch import BROADCAST_ROWS, scratch_root, size_checked, stored
+
 #: Rows per Arrow batch sent to Python: with very long texts a batch stays within a worker's memory.
 BATCH_ROWS = 512
-#: A table is broadcast only when a count showed that it has no more rows than this; else it is joined by shuffle.
-BROADCAST_ROWS = 200_000
-
-_fallback: dict[str, str] = {}
-
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session. Only where that is unset
-    (single-machine tests) a local temporary folder is made."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    return _fallback.setdefault("dir", tempfile.mkdtemp(prefix="graphspark-"))
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet under the shared folder and read it again: cuts the lineage, and a lost
-    executor costs no more than a reread."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/graphspark/{label}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+__all__ = ["BATCH_ROWS", "BROADCAST_ROWS", "mix64", "plain", "scratch_root", "size_checked", "small_batches", "stored", "texts_of"]
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -42,11 +20,6 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def size_checked(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count shows that it has at most `limit` rows, df itself otherwise."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def mix64(h: np.ndarray, mult: int = 0xBF58476D1CE4E5B9) -> np.ndarray:
     """A bijective scrambler of unsigned 64-bit numbers."""
     h = h ^ (h >> np.uint64(31))
