@@ -10,6 +10,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 IDENTIFIER = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
@@ -48,7 +49,7 @@ def label_key_text(label: str | None) -> str | None:
     return re.sub(r"\s+", " ", re.sub(r"\s*([-/])\s*", r"\1", bare.lower())).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def label_key(labels: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """label_key_text() by Arrow batches: Spark has no normalisation to NFD."""
     for part in labels:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def jaro_of(a: str, b: str) -> float:
@@ -40,7 +41,7 @@ def jaro_winkler_of(a: str, b: str, factor: float = 0.1) -> float:
     return jaro + prefix * min(factor, 0.25) * (1 - jaro)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_winkler(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """jaro_winkler_of() by Arrow batches; null if either is null."""
     for a, b in pairs:

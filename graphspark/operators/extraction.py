@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from graphspark.functions.names import label_key
@@ -32,11 +32,13 @@ def percent(part: Column, whole: Column) -> Column:
 # --- within a document ---------------------------------------------------------------------------------------------
 
 
-def _ordered(c: str) -> Column:
-    return F.transform(F.array_sort(F.collect_list(F.struct("ord", c))), lambda x: x[c])
+def in_order(c: str) -> Column:
+    """The values of a group by ord; maps have no order of their own."""
+    by_ord = lambda a, b: F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0)
+    return F.transform(F.array_sort(F.collect_list(F.struct("ord", c)), by_ord), lambda x: x[c])
 
 
-def _earliest_wins(bags: Column) -> Column:
+def earliest_wins(bags: Column) -> Column:
     """One bag from several, the first value of each key winning."""
     pairs = F.flatten(F.transform(bags, lambda b: F.map_entries(F.coalesce(b, F.create_map().cast("map<string,struct<s:string,d:double,b:boolean,j:string>>")))))
     first = F.filter(pairs, lambda e, i: F.array_position(F.transform(pairs, lambda x: x["key"]), e["key"]) == i + 1)
@@ -47,16 +49,25 @@ def merge_entities(entities: DataFrame) -> DataFrame:
     """One row for each source, type and label (case folded): the first label and properties, the longest summary
     (first on ties), all aliases and refs."""
     longest = F.max_by("summary", F.struct(F.length(F.coalesce("summary", F.lit(""))), -F.col("ord")))
-    return entities.groupBy("source", "type", F.lower("label").alias("key")).agg(
-        F.min("ord").alias("ord"), F.min_by("label", "ord").alias("label"), longest.alias("summary"), _earliest_wins(_ordered("properties")).alias("properties"), F.array_distinct(F.flatten(_ordered("aliases"))).alias("aliases"), F.flatten(_ordered("refs")).alias("refs"), F.count(F.lit(1)).alias("n")
-    )
+    out = {
+        "ord": F.min("ord"), "label": F.min_by("label", "ord"), "summary": longest, "properties": earliest_wins(in_order("properties")),
+        "aliases": F.array_distinct(F.flatten(in_order("aliases"))), "refs": F.flatten(in_order("refs")), "n": F.count(F.lit(1)),
+    }
+    return aggregated(entities.groupBy("source", "type", F.lower("label").alias("key")), out)
+
+
+def aggregated(groups: GroupedData, out: dict[str, Column]) -> DataFrame:
+    """groups.agg() under names that may be those of its input."""
+    return groups.agg(*[c.alias(f"_{k}") for k, c in out.items()]).withColumnsRenamed({f"_{k}": k for k in out})
 
 
 def merge_relationships(relationships: DataFrame) -> DataFrame:
     """One row for each source, type and pair of labels (case folded); earlier properties win."""
-    return relationships.groupBy("source", "type", F.lower("source_label").alias("source_key"), F.lower("target_label").alias("target_key")).agg(
-        F.min("ord").alias("ord"), F.min_by("source_label", "ord").alias("source_label"), F.min_by("target_label", "ord").alias("target_label"), _earliest_wins(_ordered("properties")).alias("properties"), F.flatten(_ordered("refs")).alias("refs"), F.count(F.lit(1)).alias("n")
-    )
+    out = {
+        "ord": F.min("ord"), "source_label": F.min_by("source_label", "ord"), "target_label": F.min_by("target_label", "ord"), "properties": earliest_wins(in_order("properties")),
+        "refs": F.flatten(in_order("refs")), "n": F.count(F.lit(1)),
+    }
+    return aggregated(relationships.groupBy("source", "type", F.lower("source_label").alias("source_key"), F.lower("target_label").alias("target_key")), out)
 
 
 def known_names(entities: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphspark.functions.names import slug
 from graphspark.functions.similarity import jaro_winkler
-from graphspark.operators.extraction import _earliest_wins
+from graphspark.operators.extraction import aggregated, earliest_wins, in_order
 from graphspark.plans.scratch import size_checked, stored
 
 FUZZY = 0.9
@@ -66,9 +66,12 @@ def connected_candidates(candidates: DataFrame, rounds: int = 20) -> DataFrame:
 def merged(candidates: DataFrame, assigned: DataFrame) -> DataFrame:
     """One row for each canonical candidate: its label, the longest summary, earlier properties first, all names."""
     both = candidates.join(assigned, ["type", "ord"])
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("ord", c))), lambda x: x[c])
     names = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "label", "aliases"))), lambda x: F.concat(F.array(x["label"]), F.coalesce(x["aliases"], F.array().cast("array<string>"))))))
-    out = both.groupBy("type", "canonical").agg(F.min_by("label", "ord").alias("label"), F.max_by("summary", F.struct(F.length(F.coalesce("summary", F.lit(""))), -F.col("ord"))).alias("summary"), _earliest_wins(ordered("properties")).alias("properties"), names.alias("names"), F.array_sort(F.collect_set("source")).alias("source_documents"), F.count(F.lit(1)).alias("n"))
+    out = {
+        "label": F.min_by("label", "ord"), "summary": F.max_by("summary", F.struct(F.length(F.coalesce("summary", F.lit(""))), -F.col("ord"))), "properties": earliest_wins(in_order("properties")),
+        "names": names, "source_documents": F.array_sort(F.collect_set("source")), "n": F.count(F.lit(1)),
+    }
+    out = aggregated(both.groupBy("type", "canonical"), out)
     return out.withColumn("aliases", F.filter("names", lambda n: F.lower(n) != F.lower("label"))).drop("names")
 
 
@@ -122,8 +125,8 @@ def resolve_relationships(relationships: DataFrame, entities: DataFrame, allowed
 
 def deduplicated(resolved: DataFrame) -> DataFrame:
     """One row for each type and pair of ids; earlier properties win. Unresolved rows are left out."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "properties"))), lambda x: x["properties"])
-    return resolved.where("source_id is not null and target_id is not null").groupBy("type", "source_id", "target_id").agg(F.min("ord").alias("ord"), _earliest_wins(ordered).alias("properties"), F.count(F.lit(1)).alias("n"))
+    groups = resolved.where("source_id is not null and target_id is not null").groupBy("type", "source_id", "target_id")
+    return aggregated(groups, {"ord": F.min("ord"), "properties": earliest_wins(in_order("properties")), "n": F.count(F.lit(1))})
 
 
 def similar_names(left: DataFrame, right: DataFrame, threshold: float = 0.85) -> DataFrame:

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHAPTER_SIZE, CHUNK_SIZE, OVERLAP = 30_000, 100_000, 2000
 _PAGE = re.compile(r"^--\s*\d+\s+of\s+\d+\s*--$")
@@ -202,7 +203,7 @@ def salvage(text: str | None) -> str | None:
     return json.dumps({k: got[k] for k in ("entities", "relationships")}) if fine(got) and (got["entities"] or got["relationships"]) else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def salvaged(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in texts:
         yield part.map(salvage, na_action="ignore")
