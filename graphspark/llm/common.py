@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphspark.plans.scratch import BROADCAST_ROWS, scratch_root, size_checked, stored
+from graphspark.plans.ship import ship
 
 #: Rows per Arrow batch sent to Python: with very long texts a batch stays within a worker's memory.
 BATCH_ROWS = 512
@@ -16,7 +17,8 @@ __all__ = ["BATCH_ROWS", "BROADCAST_ROWS", "mix64", "plain", "scratch_root", "si
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches of this session."""
+    """Bound the Arrow batches of this session, and see that executors have the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

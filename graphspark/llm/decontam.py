@@ -173,16 +173,17 @@ def keep_clean(df: DataFrame, benchmark: DataFrame, min_tokens: int = 12, identi
     """The rows of df that hold no benchmark text; nothing is shuffled."""
     spark = df.sparkSession
     small_batches(spark)
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     for index in benchmark_blocks(benchmark, block_tokens):
         block = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             for b in batches:
-                hit = {f[0] for f in overlaps([tokens(t) for t in texts_of(b, text_col)], block.value, min_tokens, identity)}
+                hit = {f[0] for f in overlaps([tokens(t) for t in texts_of(b)], block.value, min_tokens, identity)}
                 yield b.filter(pa.array([k not in hit for k in range(b.num_rows)], pa.bool_()))
 
-        df = df.mapInArrow(run, df.schema)
-    return df
+        packed = packed.mapInArrow(run, packed.schema)
+    return packed.select("row.*")
 
 
 def brute_pairs(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], min_tokens: int = 12, identity: float = 0.8) -> set[tuple[int, int]]:

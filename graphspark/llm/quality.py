@@ -143,7 +143,7 @@ def judge(df: DataFrame, core: float = 0.75, cutoff: float = 110.0, steps: int =
 def keep_good(df: DataFrame, **options: float) -> DataFrame:
     """The rows of df that judge() keeps; rows with a null id stay, rows that share an id share the verdict."""
     bad = stored(judge(df, **options).where(~F.col("kept")).select("doc_id").where("doc_id is not null").distinct(), "rejected")
-    return df.join(size_checked(bad), "doc_id", "left_anti").select(df.columns)
+    return df.join(size_checked(bad), "doc_id", "left_anti")
 
 
 def brute_distances(z: np.ndarray, core: float, steps: int) -> np.ndarray:
