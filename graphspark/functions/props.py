@@ -75,7 +75,7 @@ def to_json(c: Column) -> Column:
 
 def plain(v: Column, quote: Any = None) -> Column:
     """A value as text: JSON if quote is given, else the bare value; whole numbers without a fraction."""
-    s = quote(v["s"]) if quote else v["s"]
+    s = F.when(v["s"].isNotNull(), quote(v["s"])) if quote else v["s"]
     d = F.when(v["d"] == F.floor(v["d"]), v["d"].cast("decimal(38,0)").cast("string")).otherwise(v["d"].cast("string"))
     none = F.lit("null") if quote else F.lit(None).cast("string")
     return F.coalesce(s, d, v["b"].cast("string"), v["j"], none)

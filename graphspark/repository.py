@@ -36,7 +36,8 @@ class Info:
     description: str = ""
     metadata: str = "{}"
     governance: Governance = Governance()
-    version: int = 0
+    version: int = 0  # of the tables
+    revision: int = 0  # of this record
     vocabulary: str = ""
 
 
@@ -115,8 +116,9 @@ class Repository:
 
     def _commit(self, info: Info) -> None:
         stored = self.store._read(f"{info.repository_id}/info.json")
-        if stored is not None and json.loads(stored)["version"] != self.info.version:
+        if stored is not None and json.loads(stored)["revision"] != self.info.revision:
             raise Conflict("the repository was changed meanwhile")
+        info = replace(info, revision=self.info.revision + 1)
         self.store._write(f"{info.repository_id}/info.json", json.dumps({**info.__dict__, "governance": info.governance.__dict__}))
         self.info = info
 
