@@ -10,7 +10,8 @@ parts need not publish empty signatures, as some part with a shared, non-empty o
 them.
 
 Sets that are equal are grouped first by a 128-bit digest and take part once. Candidates of a signature are
-first compared with the signature's smallest id only; what is then not yet in one class is compared pair by pair, in
+first compared with the signature's smallest id only, then classes by their first and last ids; what is then not yet
+in one class is compared pair by pair, in
 blocks of bounded size, behind an exact filter: the XOR of one bit per element gives two bit strings whose distance
 never exceeds the sets' difference. No pair that the signatures give is left out: there is no cap on buckets or
 partners. Each link is verified on the sets of 64-bit hashes of the n-grams.
@@ -32,6 +33,8 @@ from graphspark.llm.common import mix64, plain, size_checked, small_batches, sto
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _REMEMBERED = 500_000
+#: Rounds in which classes that meet in a signature are compared by their first and last ids, before all pairs are.
+ROUNDS = 1
 #: Rows of a block in the comparison of all pairs of a bucket.
 BLOCK = 2048
 
@@ -111,9 +114,9 @@ class Bands:
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
     def width(self, size: int) -> int:
-        """Bits of the sketch: some four times the difference that can occur, a power of two."""
+        """Bits of the sketch: twelve times the difference that can occur or more, a power of two, so few collide."""
         k = self.most(size, size * 100 // self.percent + 1)
-        return 1 << min(14, max(7, math.ceil(math.log2(4 * k + 1))))
+        return 1 << min(16, max(7, math.ceil(math.log2(12 * k + 1))))
 
     def sketch(self, x: np.ndarray) -> np.ndarray:
         """One bit for each element, combined by XOR, as 64-bit words."""
@@ -146,17 +149,15 @@ def describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, digest, sketch, sigs = [], [], [], []
-            seen: set[bytes] = set()
-            for t in texts_of(b):
-                x = shingles(t, n)
-                size.append(len(x))
-                d = xxhash.xxh3_128_digest(x.tobytes())
-                digest.append(d)
-                sketch.append(bands.sketch(x).tobytes())
-                sigs.append(b"" if d in seen else bands.signatures(x).tobytes())
-                seen.add(d)
-            yield _rows(["doc_id", "size", "digest", "sketch", "sigs"], b.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary()), pa.array(sigs, pa.binary()))
+            sets = [shingles(t, n) for t in texts_of(b)]
+            ids = b.column("doc_id").to_pylist()
+            digests = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+            first: dict[bytes, int] = {}  # row of the smallest id of each digest
+            for k, d in enumerate(digests):
+                if ids[k] is not None and (d not in first or ids[k] < ids[first[d]]):
+                    first[d] = k
+            sigs = [bands.signatures(x).tobytes() if first.get(d) == k else b"" for k, (x, d) in enumerate(zip(sets, digests))]
+            yield _rows(["doc_id", "size", "digest", "sketch", "sigs"], b.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([bands.sketch(x).tobytes() for x in sets], pa.binary()), pa.array(sigs, pa.binary()))
 
     return docs.mapInArrow(run, "doc_id long, size long, digest binary, sketch binary, sigs binary")
 
@@ -292,6 +293,19 @@ def _block_pairs(bands: Bands):  # noqa: ANN202
     """For the rows of a pair of blocks: the pairs of different classes that size and sketch allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for a in found(batches):  # a pair may share many signatures: told once for some 100,000
+            held.append(a)
+            n += len(a)
+            if n > 100_000:
+                a = np.unique(np.concatenate(held), axis=0)
+                yield _rows(["a", "b"], a[:, 0], a[:, 1])
+                held, n = [], 0
+        if held:
+            a = np.unique(np.concatenate(held), axis=0)
+            yield _rows(["a", "b"], a[:, 0], a[:, 1])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for t in _grouped(batches, "task"):
             doc, comp, size, block = (t.column(c).to_numpy() for c in ("doc_id", "comp", "size", "block"))
             if len(doc) < 2 or (comp == comp[0]).all():
@@ -312,8 +326,7 @@ def _block_pairs(bands: Bands):  # noqa: ANN202
                     js = [j for j in js if len(raw[i]) == low or len(raw[j]) == low or _close(bands, [raw[i].tobytes()], [raw[j].tobytes()], size[i : i + 1], size[j : j + 1])[0]]
                     out += [(min(doc[i], doc[j]), max(doc[i], doc[j])) for j in js]
             if out:
-                a = np.array(out)
-                yield _rows(["a", "b"], a[:, 0], a[:, 1])
+                yield np.array(out)
 
     return run
 
@@ -332,19 +345,21 @@ def classes(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id"
     named = table.where("doc_id is not null and size > 0")
     # equal sets: one row with the smallest id for each digest
     groups = stored(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "groups")
-    reps = groups.select(F.col("rep").alias("doc_id"))
-    # of a copy that came later in its batch, the signatures are blank: take those of any row of the digest
-    sigs = named.where("length(sigs) > 0").select("digest", "sigs", "size", "sketch").join(groups, "digest").select(F.col("rep").alias("doc_id"), "sigs", "size", "sketch", "copies")
-    single = sigs.where("copies = 1").unionByName(sigs.where("copies > 1").dropDuplicates(["doc_id"]))
-    sets = stored(single.drop("copies"), "reps")
+    # of each digest the row of the smallest id stands for all; it has its signatures, as it is the first of its batch
+    doubles = named.join(groups.where("copies > 1"), "digest").where("doc_id <> rep").select("doc_id").distinct()
+    sets = named.join(size_checked(stored(doubles, "doubles")), "doc_id", "left_anti").where("length(sigs) > 0")
     many = int(spark.conf.get("spark.sql.shuffle.partitions"))
     stars = sets.select("doc_id", "sigs").mapInArrow(_spread_signatures, "key long, sig long, doc long, head long")
     stars = stars.repartition(many, "key").sortWithinPartitions("sig", "doc").mapInArrow(_stars, "sig long, centre long, doc long")
     stars = stored(stars, "stars")
-    sketches = sets.select("doc_id", "size", "sketch")
+    sketches = sets.select("doc_id", "size", "sketch").dropDuplicates(["doc_id"])
     pairs = stars.select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct()
     first = stored(_verified(stored(_prefiltered(pairs, sketches, bands), "pairs"), docs, n, percent), "links")
     tied = components(first)
+    for _ in range(ROUNDS):
+        more = stored(_verified(stored(_prefiltered(_between(stars, tied), sketches, bands), "pairs"), docs, n, percent), "links")
+        first = first.union(more)
+        tied = components(first)
     links = first.union(stored(_verified(_rest(stars, sketches, tied, bands, many), docs, n, percent), "links"))
     tied = components(links)
     by_rep = groups.join(tied.withColumnRenamed("doc_id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
@@ -353,10 +368,24 @@ def classes(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id"
     )
 
 
+def _members(stars: DataFrame, tied: DataFrame) -> DataFrame:
+    """sig, doc_id and comp (its class so far) of the ids that share a signature with another."""
+    members = stars.select("sig", F.col("centre").alias("doc_id")).distinct().union(stars.select("sig", F.col("doc").alias("doc_id"))).distinct()
+    return members.join(tied, "doc_id", "left").select("sig", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+
+
+def _between(stars: DataFrame, tied: DataFrame) -> DataFrame:
+    """Pairs of the first and last ids of the classes that meet in a signature: each class with the first one."""
+    ends = _members(stars, tied).groupBy("sig", "comp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    middle = ends.groupBy("sig").agg(F.min(F.struct("comp", "lo", "hi")).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    both = ends.join(middle, "sig").where("comp <> c.comp")
+    pairs = both.select(F.explode(F.array(*[F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")) for x in ("c.lo", "c.hi") for y in ("lo", "hi")])).alias("p"))
+    return pairs.select("p.a", "p.b").distinct()
+
+
 def _rest(stars: DataFrame, sketches: DataFrame, tied: DataFrame, bands: Bands, many: int) -> DataFrame:
     """Pairs of different classes that share a signature and weren't compared as a star, after the filter."""
-    members = stars.select("sig", F.col("centre").alias("doc_id")).distinct().union(stars.select("sig", F.col("doc").alias("doc_id"))).distinct()
-    members = members.join(tied, "doc_id", "left").select("sig", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    members = _members(stars, tied)
     # a signature of two ids has no pair besides its star
     alive = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("m > 2 and lo <> hi")
     alive = alive.select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("g"))
