@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphspark.llm.common import mix64, plain, size_checked, small_batches, stored, texts_of
+from graphspark.llm.common import mix64, plain, small_batches, stored, texts_of
 
 _CUTS = {"paragraph": re.compile(r"\n[ \t]*\n\s*"), "line": re.compile(r"\n+"), "sentence": re.compile(r"\n+|(?<=[.!?])[ \t]+")}
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -146,7 +146,8 @@ def dedup(df: DataFrame, kind: str = "sentence", min_words: int = 25, id_col: st
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(text, pa.string()), pa.array(changed, pa.bool_()), pa.array(count, pa.int32()), pa.array(gone, span), pa.array(left, span)], ["doc_id", "text", "changed", "n_units", "removed", "kept"])
 
     spans = "array<struct<start:int,end:int>>"
-    return docs.join(size_checked(per_doc), "doc_id", "left").mapInArrow(cut, f"doc_id long, text string, changed boolean, n_units int, removed {spans}, kept {spans}")
+    # a shuffle at every size: what is removed grows with the corpus, so it is never broadcast
+    return docs.join(per_doc.hint("merge"), "doc_id", "left").mapInArrow(cut, f"doc_id long, text string, changed boolean, n_units int, removed {spans}, kept {spans}")
 
 
 def brute_dedup(rows: list[tuple[int, str]], kind: str = "sentence", min_words: int = 25) -> dict[int, str]:
