@@ -90,7 +90,7 @@ def _equal(v: Column, to: Any) -> Column:
     if to is None:
         return v.isNotNull() & is_null(v)
     part = "b" if isinstance(to, bool) else "d" if isinstance(to, (int, float)) else "s"
-    return F.coalesce(v[part] == F.lit(float(to) if part == "d" else to), F.lit(False))
+    return v[part] == F.lit(float(to) if part == "d" else to)
 
 
 @dataclass(frozen=True)
@@ -106,7 +106,8 @@ class Filter:
             raise ValueError(f"unknown operator {self.op}")
 
     def on(self, props: Column) -> Column:
-        """True or false, never null. neq holds for a missing key; comparisons of unlike types fail."""
+        """True if the filter holds, else false or null: as a condition that reaches the scan. neq holds for a missing
+        key; comparisons of unlike types fail."""
         v, to = props[self.key], self.value
         if self.op == "isNull":
             return is_null(v)
@@ -115,14 +116,13 @@ class Filter:
         if self.op == "eq":
             return _equal(v, to)
         if self.op == "neq":
-            return ~_equal(v, to)
+            return ~F.coalesce(_equal(v, to), F.lit(False))
         if isinstance(to, bool) or to is None:
             return F.lit(False)
         if self.op == "contains":
-            return F.coalesce(F.contains(F.lower(v["s"]), F.lit(to.lower())), F.lit(False)) if isinstance(to, str) else F.lit(False)
+            return F.contains(F.lower(v["s"]), F.lit(to.lower())) if isinstance(to, str) else F.lit(False)
         side, lit = (v["s"], F.lit(to)) if isinstance(to, str) else (v["d"], F.lit(float(to)))
-        held = {"gt": side > lit, "gte": side >= lit, "lt": side < lit, "lte": side <= lit}[self.op]
-        return F.coalesce(held, F.lit(False))
+        return {"gt": side > lit, "gte": side >= lit, "lt": side < lit, "lte": side <= lit}[self.op]
 
 
 def all_of(filters: list[Filter] | tuple[Filter, ...], props: Column) -> Column:

@@ -23,10 +23,12 @@ DETAIL = {
 
 @dataclass(frozen=True)
 class Graph:
-    """One repository's vertices and edges. Frames may lack optional columns."""
+    """One repository's vertices and edges. Frames may lack optional columns. `complete` states that both ends of
+    every edge exist, so walks need not look them up."""
 
     vertices: DataFrame
     edges: DataFrame
+    complete: bool = False
 
     @property
     def spark(self) -> SparkSession:

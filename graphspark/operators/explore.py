@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphspark.functions.props import Filter, all_of
 from graphspark.model import Graph
 from graphspark.operators.halfedges import half_edges
+from graphspark.plans.scratch import stored
 
 EXPLORE_DEPTH, PATH_DEPTH = 3, 5
 
@@ -40,6 +41,8 @@ def layers(graph: Graph, start: str, depth: int = 1, direction: str = "both", re
         step = halves.where(F.col("a") == start) if level == 1 else halves.join(frontier, "a", "left_semi")
         step = step.where(F.col("b") != start) if level == 1 else step.join(visited.withColumnRenamed("a", "b"), "b", "left_anti")
         found = step.select("relationship_type", F.col("b").alias("id")).distinct().join(vertices, "id")
+        if level < depth:  # read again by the result, the next frontier and the visited set: computed once
+            found = stored(found, "layer")
         layer = found.select(F.lit(level).alias("depth"), "relationship_type", "id", "type", "label")
         out = layer if out is None else out.unionByName(layer)
         frontier = found.select(F.col("id").alias("a")).distinct()
@@ -105,7 +108,7 @@ def paths(graph: Graph, source: str, target: str, max_depth: int = 3, mode: str
         if allowed is not None:
             grown = grown.join(allowed, "nxt", "left_semi")
         if mode == "bfs_pruned":
-            grown = grown.join(seen, "nxt", "left_anti")
+            grown = stored(grown.join(seen, "nxt", "left_anti"), "paths")
             seen = seen.unionByName(grown.select("nxt").distinct())
         walk = grown.withColumnRenamed("nxt", "a")
     return _ends_allowed(graph, found, source, target, entity_types) if strict_endpoints and entity_types else found

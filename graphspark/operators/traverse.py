@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphspark.functions.props import all_of, plain
 from graphspark.model import Graph
 from graphspark.operators.halfedges import half_edges
+from graphspark.plans.scratch import stored
 from graphspark.plans.traversal import Step, Traversal, checked
 
 _HOP = "array<struct<edge:string,type:string,dir:string,id:string>>"
@@ -30,6 +31,8 @@ def _start(graph: Graph, spec: Traversal) -> DataFrame:
 
 def _targets(graph: Graph, step: Step) -> DataFrame | None:
     """Ids that a step may reach, or None for any vertex."""
+    if graph.complete and not step.entity_types and not step.entity_filters:
+        return None
     v = graph.vertices
     if step.entity_types:
         v = v.where(F.col("type").isin(*step.entity_types))
@@ -47,9 +50,11 @@ def _halves(graph: Graph, step: Step) -> DataFrame:
     return half_edges(edges, step.direction).select(F.col("a").alias("at"), F.col("b").alias("nxt"), "edge_id", F.col("type").alias("edge_type"), "dir")
 
 
-def _walk(walks: DataFrame, halves: DataFrame, targets: DataFrame) -> DataFrame:
+def _walk(walks: DataFrame, halves: DataFrame, targets: DataFrame | None) -> DataFrame:
     """One hop; walks keep their multiplicity. Edges to vertices that don't exist are dropped."""
-    grown = walks.join(halves, "at").join(targets, "nxt", "left_semi")
+    grown = walks.join(halves, "at")
+    if targets is not None:
+        grown = grown.join(targets, "nxt", "left_semi")
     hop = F.struct(F.col("edge_id").alias("edge"), F.col("edge_type").alias("type"), "dir", F.col("nxt").alias("id"))
     return grown.select("start", F.col("nxt").alias("at"), F.array_append("hops", hop).alias("hops"))
 
@@ -66,7 +71,7 @@ def _repeat(graph: Graph, walks: DataFrame, step: Step, emit_all: bool) -> tuple
     for _ in range(r.max_depth):
         new = _walk(frontier, halves, targets).join(visited, "at", "left_anti")
         first = Window.partitionBy("at").orderBy(F.transform("hops", lambda h: h["edge"]), "start")
-        new = new.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+        new = stored(new.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"), "walks")
         levels.append(new)
         if r.until or r.until_types:
             stop = graph.vertices
@@ -78,25 +83,12 @@ def _repeat(graph: Graph, walks: DataFrame, step: Step, emit_all: bool) -> tuple
         else:
             going = new
         # reached something: go on with what continues, or else with what met the condition
-        result = _first_not_empty(going, new, result)
+        if new.isEmpty():
+            break
+        result = new if going is not new and going.isEmpty() else going
         visited = visited.unionByName(new.select("at").distinct())
         frontier = going
-    return (reduce(DataFrame.unionByName, levels) if emit_all else result), levels
-
-
-def _first_not_empty(*choices: DataFrame) -> DataFrame:
-    """The rows of the first choice that has any, decided in the plan by a flag from each."""
-    flags = [c.limit(1).groupBy().agg((F.count(F.lit(1)) > 0).alias(f"f{i}")) for i, c in enumerate(choices[:-1])]
-    out, earlier = None, []
-    for i, c in enumerate(choices):
-        part, held = c, F.lit(True)
-        for j in earlier:
-            part = part.crossJoin(F.broadcast(flags[j]))
-            held &= ~F.col(f"f{j}")
-        part = part.where(held).select(c.columns)
-        out = part if out is None else out.unionByName(part)
-        earlier.append(i)
-    return out
+    return (reduce(DataFrame.unionByName, levels) if emit_all and levels else result), levels
 
 
 def walks(graph: Graph, spec: Traversal) -> tuple[DataFrame, list[DataFrame]]:
@@ -117,7 +109,8 @@ def terminal(graph: Graph, spec: Traversal) -> DataFrame:
     """The vertices at the ends, each once if spec.deduplicate."""
     ends, _ = walks(graph, spec)
     ids = ends.select(F.col("at").alias("id"))
-    return graph.vertices.join(ids.distinct(), "id", "left_semi") if spec.deduplicate else ids.join(graph.vertices, "id")
+    # an inner join: a semi-join would be pushed into each table of vertices, with the walk below it
+    return graph.vertices.join(ids.distinct() if spec.deduplicate else ids, "id").select(graph.vertices.columns)
 
 
 def projected(graph: Graph, spec: Traversal) -> DataFrame:

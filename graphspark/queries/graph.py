@@ -328,19 +328,19 @@ def _path_rows(p: DataFrame) -> DataFrame:
     return p.select("hops", F.array_join("vertex_path", ">").alias("vertices"), F.array_join("edge_path", ">").alias("edges"), F.array_join("directions", ">").alias("directions"))
 
 
-@query(_paths_sql("nation:1", "nation:2", 3, "'IN_REGION', 'TRADES_WITH'", True))
+@query(_paths_sql("nation:3", "nation:8", 3, "'IN_REGION', 'TRADES_WITH'", True))
 def paths_bfs_pruned(spark: SparkSession, d: str) -> DataFrame:
-    return _path_rows(explore.paths(star_graph(spark, d, ("Nation", "Region"), ("IN_REGION", "TRADES_WITH")), "nation:1", "nation:2", 3))
+    return _path_rows(explore.paths(star_graph(spark, d, ("Nation", "Region"), ("IN_REGION", "TRADES_WITH")), "nation:3", "nation:8", 3))
 
 
-@query(_paths_sql("nation:1", "nation:2", 3, "'IN_REGION', 'TRADES_WITH'", False))
+@query(_paths_sql("nation:3", "nation:8", 3, "'IN_REGION', 'TRADES_WITH'", False))
 def paths_all_simple(spark: SparkSession, d: str) -> DataFrame:
-    return _path_rows(explore.paths(star_graph(spark, d, ("Nation", "Region"), ("IN_REGION", "TRADES_WITH")), "nation:1", "nation:2", 3, "all_simple"))
+    return _path_rows(explore.paths(star_graph(spark, d, ("Nation", "Region"), ("IN_REGION", "TRADES_WITH")), "nation:3", "nation:8", 3, "all_simple"))
 
 
-@query(_paths_sql("customer:7", "supplier:3", 4, "'IN_NATION', 'IN_REGION'", False))
+@query(_paths_sql("customer:3", "supplier:0", 4, "'IN_NATION', 'IN_REGION'", False))
 def paths_typed(spark: SparkSession, d: str) -> DataFrame:
-    return _path_rows(explore.paths(star_graph(spark, d), "customer:7", "supplier:3", 4, "all_simple", ["IN_NATION", "IN_REGION"], ["Nation", "Region"]))
+    return _path_rows(explore.paths(star_graph(spark, d), "customer:3", "supplier:0", 4, "all_simple", ["IN_NATION", "IN_REGION"], ["Nation", "Region"]))
 
 
 # --- traversal ------------------------------------------------------------------------------------------------------

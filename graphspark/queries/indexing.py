@@ -238,7 +238,7 @@ def label_quality(spark: SparkSession, d: str) -> DataFrame:
     return extraction.label_problems(_entities(spark, d))
 
 
-@query(f"WITH {_E}, d AS (SELECT DISTINCT type, lower(label) AS key FROM E WHERE ord % 10 = 0) SELECT type, count(*) AS labels, CAST(4 AS BIGINT) AS values, count(*) AS matched, 1.0 AS dominance, round(count(*) / 4, 2) AS coverage FROM d GROUP BY type HAVING count(*) / 4 >= 0.6")
+@query(f"WITH {_E}, d AS (SELECT DISTINCT type, lower(label) AS key FROM E WHERE ord % 10 = 0) SELECT type, count(*) AS labels, CAST(4 AS BIGINT) AS values, count(*) AS matched, CAST(1.0 AS DOUBLE) AS dominance, round(count(*) / 4, 2) AS coverage FROM d GROUP BY type HAVING count(*) / 4 >= 0.6")
 def enum_checklist(spark: SparkSession, d: str) -> DataFrame:
     e = _entities(spark, d).where("ord % 10 = 0")
     controlled = e.select("type").distinct().withColumn("value", F.explode(F.array(*[F.lit(f"L{k}") for k in (0, 10, 20, 30)])))
@@ -356,7 +356,7 @@ def type_consistency(spark: SparkSession, d: str) -> DataFrame:
     return extraction.type_consistency(_log(spark, d))
 
 
-@query("SELECT p_brand AS type, count(*) AS entries, count(*) AS merged, 0.5 AS rate FROM part GROUP BY p_brand")
+@query("SELECT p_brand AS type, count(*) AS entries, count(*) AS merged, CAST(0.5 AS DOUBLE) AS rate FROM part GROUP BY p_brand")
 def merge_stats(spark: SparkSession, d: str) -> DataFrame:
     return extraction.merge_rates(_registry(spark, d), _log(spark, d))
 

@@ -59,7 +59,7 @@ def star_graph(spark: SparkSession, folder: str, vertex_types: tuple[str, ...] =
     }
     chosen = edges if edge_types is None else {k: edges[k] for k in edge_types}
     union = lambda parts: reduce(DataFrame.unionByName, [p() for p in parts])
-    return Graph(union([vertices[t] for t in vertex_types]), union(list(chosen.values())))
+    return Graph(union([vertices[t] for t in vertex_types]), union(list(chosen.values())), complete=set(vertex_types) == set(VERTEX_TABLES))
 
 
 #: The same graph for DuckDB, as common table expressions.
