@@ -13,6 +13,16 @@ from pyspark.sql import functions as F
 from graphspark.functions.props import bag, empty_bag, number, text
 from graphspark.model import BAG, Graph
 
+# The tables' schemas; given, no file is opened to find them out.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+}
 VERTEX_TABLES = ("Region", "Nation", "Customer", "Supplier", "Part", "Order")
 
 
@@ -32,7 +42,13 @@ def _edge(df: DataFrame, type_: str, id_: Column, source: Column, target: Column
 
 def star_graph(spark: SparkSession, folder: str, vertex_types: tuple[str, ...] = VERTEX_TABLES, edge_types: tuple[str, ...] | None = None) -> Graph:
     """The graph, or the part of it with the given types."""
-    read = lambda t: spark.read.parquet(f"{folder}/{t}.parquet")
+    tables: dict[str, DataFrame] = {}
+
+    def read(t: str) -> DataFrame:
+        if t not in tables:
+            tables[t] = spark.read.schema(SCHEMAS[t]).parquet(f"{folder}/{t}.parquet")
+        return tables[t]
+
     none = F.lit(None).cast("string")
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     vertices = {
