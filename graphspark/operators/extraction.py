@@ -330,3 +330,17 @@ def verdict_rates(items: DataFrame) -> DataFrame:
     for n in names[1:]:
         worst = F.when(F.col(n) > 0, n).otherwise(worst)
     return per.withColumn("accuracy", F.round((F.col("confirmed") + F.col("corrected")) / total, 4)).withColumn("overall", worst)
+
+
+def checkpoint(tier1: DataFrame, accuracy: DataFrame | None = None, least: float = 0.8) -> DataFrame:
+    """One row with the verdict over all documents: fail if a document failed or the mean accuracy (source, accuracy)
+    of the checked ones is too low, warnings if one has them, else pass; and the numbers behind it."""
+    n = lambda v: F.coalesce(F.sum((F.col("verdict") == v).cast("long")), F.lit(0)).alias(v)
+    out = tier1.agg(F.count(F.lit(1)).alias("documents"), n("fail"), n("warnings"))
+    mean = F.lit(None).cast("double")
+    if accuracy is not None:
+        out = out.crossJoin(accuracy.agg(F.avg("accuracy").alias("accuracy")))
+        mean = F.col("accuracy")
+    low = F.coalesce(mean < least, F.lit(False))
+    verdict = F.when((F.col("fail") > 0) | low, "fail").when(F.col("warnings") > 0, "warnings").otherwise("pass")
+    return out.select("documents", "fail", "warnings", mean.alias("accuracy"), verdict.alias("verdict"))

@@ -115,6 +115,27 @@ def enriched(graph: Graph, edges: DataFrame) -> DataFrame:
     return out.withColumns({f"{s}_label": F.coalesce(f"{s}_label", f"{s}_id") for s in ("source", "target")})
 
 
+@dataclass(frozen=True)
+class GraphPage:
+    """A page of a whole graph: its vertices, the edges at them (named, up to a cap) and where the next page starts."""
+
+    vertices: DataFrame
+    edges: DataFrame
+    total_edges: int
+    truncated: bool
+    cursor: str | None
+
+
+def graph_page(graph: Graph, limit: int = 200, offset: int = 0, level: str = "summary", most_edges: int = 1000) -> GraphPage:
+    """The page of vertices by id from the offset, and the edges with an end on it. Ends on other pages show their ids."""
+    rows = detail(graph.vertices, level).orderBy("id").offset(offset).limit(limit)
+    near = relationships_of(graph, rows)
+    total = near.count()
+    named = enriched(Graph(rows, near), near.orderBy("id").limit(most_edges))
+    more = offset + limit < graph.vertices.count()
+    return GraphPage(rows, named, total, total > most_edges, f"offset:{offset + limit}" if more else None)
+
+
 def induced(graph: Graph, ids: DataFrame) -> DataFrame:
     """Edges with both ends among ids (column id)."""
     some = ids.select(F.col("id").alias("_v")).distinct()

@@ -44,9 +44,10 @@ def token_search(frame: DataFrame, text: Column, token: str) -> DataFrame:
     return frame.where(F.array_contains(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), token.lower()))
 
 
-def highlight(field: Column, query: str) -> Column:
-    """A snippet around the first word of the query that the field holds: 40 characters on either side, "..." where
-    it is cut; null if none of the words is there."""
+def highlight(field: Column, query: str, shown: int | None = SHOWN) -> Column:
+    """A snippet around the first word of the query that the field's first `shown` characters hold: 40 characters on
+    either side, "..." where it is cut; null if none of the words is there."""
+    field = F.substring(field, 1, shown) if shown else field
     out = F.lit(None).cast("string")
     for term in reversed([t for t in query.lower().split() if t]):
         at = F.instr(F.lower(field), term) - 1
@@ -57,6 +58,11 @@ def highlight(field: Column, query: str) -> Column:
     return F.when(field.isNotNull(), out)
 
 
+def highlights(frame: DataFrame, query: str, fields: dict[str, Column]) -> DataFrame:
+    """frame with a column hl_<name> for each field."""
+    return frame.withColumns({f"hl_{k}": highlight(c, query) for k, c in fields.items()})
+
+
 def concept_search(frame: DataFrame, vector: list[float], threshold: float = THRESHOLD, limit: int | None = None, column: str = "embedding", id_col: str = "id") -> DataFrame:
     """Rows whose vector has a cosine of at least `threshold` with the query's, with it as score. The query's
     vector is a literal, so this is a scan with a filter and, if limited, a top-k."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphspark.functions.props import all_of, plain
 from graphspark.model import Graph
+from graphspark.operators.aggregate import relationship_summary
 from graphspark.operators.halfedges import half_edges
 from graphspark.plans.scratch import stored
 from graphspark.plans.traversal import Step, Traversal, checked
@@ -162,3 +163,12 @@ def run(graph: Graph, spec: Traversal) -> DataFrame:
     if spec.return_mode == "all":
         return everything(graph, spec).orderBy("depth", F.desc("kind"), "id").offset(spec.offset).limit(spec.limit)
     return terminal(graph, spec).orderBy("id").offset(spec.offset).limit(spec.limit)
+
+
+def with_relationship_summary(graph: Graph, vertices: DataFrame) -> DataFrame:
+    """vertices with maps of their numbers of outgoing and incoming edges by type; empty maps for lonely ones."""
+    counts = relationship_summary(graph, vertices)
+    pairs = F.sort_array(F.collect_list(F.struct("type", "n")))
+    per = counts.groupBy("id").pivot("direction", ["out", "in"]).agg(F.map_from_entries(pairs))
+    both = vertices.join(per.withColumnsRenamed({"out": "outgoing", "in": "incoming"}), "id", "left")
+    return both.withColumns({c: F.coalesce(c, F.create_map().cast("map<string,bigint>")) for c in ("outgoing", "incoming")})

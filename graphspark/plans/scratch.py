@@ -33,3 +33,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def size_checked(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count shows that it has at most `limit` rows, df itself otherwise."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of the folder; frames that still read them become unusable."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/graphspark")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

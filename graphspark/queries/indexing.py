@@ -52,7 +52,7 @@ def token_search(spark: SparkSession, d: str) -> DataFrame:
     return search.token_search(_table(spark, d, "documents"), F.col("text"), "under").select("doc_id")
 
 
-@query("""WITH h AS (SELECT doc_id, text, instr(lower(text), 'und') - 1 AS p FROM documents), c AS (SELECT *, greatest(0, p - 40) AS lo, least(length(text), p + 43) AS hi FROM h WHERE p >= 0)
+@query("""WITH d AS (SELECT doc_id, substring(text, 1, 200) AS text FROM documents), h AS (SELECT doc_id, text, instr(lower(text), 'und') - 1 AS p FROM d), c AS (SELECT *, greatest(0, p - 40) AS lo, least(length(text), p + 43) AS hi FROM h WHERE p >= 0)
 SELECT doc_id, (CASE WHEN lo > 0 THEN '...' ELSE '' END) || substring(text, CAST(lo + 1 AS BIGINT), CAST(hi - lo AS BIGINT)) || (CASE WHEN hi < length(text) THEN '...' ELSE '' END) AS snippet FROM c""")
 def highlights(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "documents").select("doc_id", search.highlight(F.col("text"), "und").alias("snippet")).where("snippet is not null")

@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -24,6 +25,10 @@ LIST_LIMIT = 20
 _ID = re.compile(r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
 
 
+class Cancelled(Exception):
+    """A hook refused a change."""
+
+
 class Conflict(Exception):
     """The stored version is not the one the change was made from."""
 
@@ -103,6 +108,12 @@ class Repository:
 
     def __init__(self, store: Store, info: Info) -> None:
         self.store, self.info = store, info
+        #: Called with the kind of change and its subject before it is stored; raising Cancelled prevents it.
+        self.hooks: list[Callable[[str, Any], None]] = []
+
+    def _announce(self, kind: str, subject: Any) -> None:
+        for hook in self.hooks:
+            hook(kind, subject)
 
     @property
     def vocabulary(self) -> Vocabulary:
@@ -124,6 +135,7 @@ class Repository:
 
     def save(self, graph: Graph) -> None:
         """Stores the graph as the next version."""
+        self._announce("save", graph)
         n = self.info.version + 1
         at = f"{self.store.folder}/{self.info.repository_id}/v{n}"
         whole = lambda f, ddl: self.store.spark.createDataFrame([], ddl).unionByName(f.select([c for c in f.columns if c in self.store.spark.createDataFrame([], ddl).columns]), allowMissingColumns=True)
@@ -133,12 +145,14 @@ class Repository:
 
     def update(self, **changes: Any) -> None:
         """Changes label, type or description; metadata is merged at its top level."""
+        self._announce("update", changes)
         if "metadata" in changes:
             changes["metadata"] = json.dumps({**json.loads(self.info.metadata), **changes["metadata"]})
         self._commit(replace(self.info, **changes))
 
     def propose(self, proposal: Proposal) -> Decision:
         """Decides a change of the vocabulary and stores it if it is applied."""
+        self._announce("propose", proposal)
         out = decide(self.vocabulary, proposal, self.info.governance)
         if out.status == "applied":
             self._commit(replace(self.info, vocabulary=vocabulary_json(out.vocabulary)))
@@ -157,6 +171,20 @@ class Repository:
     def query(self, spec: Traversal) -> DataFrame:
         return traverse.run(self.graph, spec)
 
+    def sql(self, text: str, **args: Any) -> DataFrame:
+        """A query in SQL over the views `entities` and `relationships`; args are its named parameters."""
+        g, spark = self.graph, self.store.spark
+        return spark.sql(text.replace("entities", "{entities}").replace("relationships", "{relationships}"), args=args or None, entities=g.vertices, relationships=g.edges)
+
+    def page(self, limit: int = 200, offset: int = 0, **options: Any) -> read.GraphPage:
+        return read.graph_page(self.graph, limit, offset, **options)
+
+    def re_embed(self, embeddable: list[str], embed: Any = None) -> None:
+        """Computes all embeddings anew from label, summary and the given properties, and stores them."""
+        g = self.graph
+        text = search.embedding_text(F.col("label"), F.col("summary"), F.col("properties"), embeddable)
+        self.save(Graph(g.vertices.withColumn("embedding", search.embedder(embed)(text)), g.edges))
+
     def explore(self, start: str, **conditions: Any) -> DataFrame:
         return explore.explore(self.graph, start, **conditions)
 

@@ -156,6 +156,8 @@ def test_reads(equipment, spark):
     assert ids(read.find(equipment, properties={"viscosity": 46}).rows) == ["fluid-2"] and read.find(equipment, properties={"viscosity": "46"}).total == 0
     assert [len(c) for c in (read.chunks(equipment.vertices.select("id"), 2).collect(),)] == [5]
     assert sorted((r.sequence, r.is_last) for r in read.chunks(equipment.vertices.select("id"), 2).collect()) == [(0, False)] * 2 + [(1, False)] * 2 + [(2, True)]
+    summed = {r.id: (r.outgoing, r.incoming) for r in traverse.with_relationship_summary(equipment, equipment.vertices).collect()}
+    assert summed["comp-1"] == ({"REQUIRES_FLUID": 1}, {"HAS_COMPONENT": 1}) and summed["fluid-1"] == ({}, {"REQUIRES_FLUID": 1})
     loop = graph(spark, [("a", "n", "a", "{}")], [("s", "l", "a", "a", "{}", False)])
     assert all(read.relationships(loop, "a", d).count() == 1 for d in ("in", "out", "both"))
     assert [(r.direction, r.n) for r in aggregate.relationship_summary(loop).orderBy("direction").collect()] == [("in", 1), ("out", 1)]

@@ -170,7 +170,11 @@ def test_ranges_and_verdicts(spark):
     got = sorted((r.label, r.property, r.code) for r in extraction.range_issues(f, rules).collect())
     assert got == [("a", "f", "percentage"), ("a", "q", "not-integer"), ("a", "w", "above"), ("b", "w", "not-numeric"), ("c", "q", "above")]
     sources = spark.createDataFrame([("s",), ("t",)], "source string")
-    assert {r.source: r.verdict for r in extraction.verdicts(sources, extraction.range_issues(f, rules)).collect()} == {"s": "fail", "t": "pass"}
+    judged = extraction.verdicts(sources, extraction.range_issues(f, rules))
+    assert {r.source: r.verdict for r in judged.collect()} == {"s": "fail", "t": "pass"}
+    assert extraction.checkpoint(judged).first().verdict == "fail" and extraction.checkpoint(judged.where("source = 't'")).first().verdict == "pass"
+    low = spark.createDataFrame([("t", 0.5)], "source string, accuracy double")
+    assert extraction.checkpoint(judged.where("source = 't'"), low).first().verdict == "fail"
 
 
 def test_conformance(spark):

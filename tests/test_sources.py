@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from graphspark.model import EDGE, VERTEX, EntityType, Property, RelationshipType, Vocabulary
 from graphspark.operators.vocabulary import Governance, Proposal
-from graphspark.repository import Conflict, Store
+from graphspark.operators import search
+from graphspark.repository import Cancelled, Conflict, Store
 from graphspark.sources import archive, code_repository, documents, vocabulary_markdown
 from graphspark.sources.star_graph import star_graph
 from graphspark.streaming.incremental import event_counts, import_stream
@@ -125,6 +126,19 @@ def test_store(spark, nations, tmp_path):
     again.update(metadata={"b": 2})
     assert json.loads(store.open(again.info.repository_id).info.metadata) == {"a": 1, "b": 2}
     assert again.propose(Proposal("add", entity=EntityType("Planet"))).status == "applied" and again.vocabulary.version == "1.3.0"
+    assert again.sql("SELECT type, count(*) AS n FROM entities WHERE type = :t GROUP BY type", t="Nation").first().n == 25
+    page = again.page(20, 0)
+    assert page.vertices.count() == 20 and page.cursor == "offset:20" and page.total_edges == 20 and not page.truncated
+    again.re_embed(["k"])
+    assert again.search_by_concept(search.hash_embedding(again.graph.vertices.where("id = 'nation:3'").first().label), threshold=0.999).where("id = 'nation:3'").count() == 1
+
+    def refuse(kind, subject):
+        raise Cancelled(kind)
+
+    again.hooks.append(refuse)
+    with pytest.raises(Cancelled):
+        again.update(label="x")
+    again.hooks.clear()
     again.update(governance=Governance("locked"))
     assert again.propose(Proposal("add", entity=EntityType("Moon"))).status == "rejected"
     assert {r.code for r in again.validate().collect()} == {"unknown_type", "unknown_property"}
