@@ -3,8 +3,8 @@
 A text is cut into units: paragraphs (between blank lines), lines, or sentences of lines (the default, as repeated
 passages often stand inside a line). Units are normalised (lower case, white space as one space) and hashed to 128
 bits. Of each digest the earliest occurrence, by doc_id and then place, is kept. In each text a run of neighbouring
-units that all occurred earlier is removed if it has `min_words` words or more, so a chance repetition of a short
-sentence stays. What is kept is returned with its offsets in the original text (code points, end exclusive).
+units that all occurred earlier is removed if it has `min_words` words or more. A unit of few words counts as repeated
+only together with the words that follow it, so chance repetitions of short sentences stay. What is kept is returned with its offsets in the original text (code points, end exclusive).
 
 Digests are pre-aggregated before the shuffle: within a batch of rows only the earliest occurrence goes to the
 digest's partition, the others are known not to be the first and are dealt out evenly. So a line that a third of all
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from graphspark.llm.common import mix64, plain, small_batches, stored, texts_of
 
 _CUTS = {"paragraph": re.compile(r"\n[ \t]*\n\s*"), "line": re.compile(r"\n+"), "sentence": re.compile(r"\n+|(?<=[.!?])[ \t]+")}
+#: A unit of fewer words repeats by chance: it is hashed together with what follows, up to so many words.
+CONTEXT = 8
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,9 +46,22 @@ def units(text: str, kind: str = "sentence") -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if not text[a:b].isspace()]
 
 
-def _digests(text: str, kind: str) -> tuple[list[int], list[int]]:
+def normal_units(text: str, kind: str = "sentence") -> list[str]:
+    """What is hashed for each unit: its words, lower-cased; for a short one also those of the units that follow."""
+    own = [text[a:b].lower().split() for a, b in units(text, kind)]
+    out = []
+    for k, words in enumerate(own):
+        j = k
+        while len(words) < CONTEXT and j + 1 < len(own):
+            j += 1
+            words = words + own[j]
+        out.append(" ".join(words if j == k else [f"{len(own[k])}:", *words[:CONTEXT]]))
+    return out
+
+
+def _digests(text: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """The halves of each unit's digest, as signed 64-bit numbers."""
-    raw = [xxhash.xxh3_128_digest(" ".join(text[a:b].lower().split())) for a, b in units(text, kind)]
+    raw = [xxhash.xxh3_128_digest(u) for u in normal_units(text, kind)]
     both = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
     return both[:, 0], both[:, 1]
 
@@ -156,8 +171,8 @@ def brute_dedup(rows: list[tuple[int, str]], kind: str = "sentence", min_words:
     out = {}
     for i, t in sorted({i: t for i, t in rows if i is not None}.items()):
         later = set()
-        for k, (a, b) in enumerate(units(t or "", kind)):
-            if first.setdefault(" ".join(t[a:b].lower().split()), (i, k)) != (i, k):
+        for k, u in enumerate(normal_units(t or "", kind)):
+            if first.setdefault(u, (i, k)) != (i, k):
                 later.add(k)
         out[i] = without(t or "", removed_runs(t or "", later, kind, min_words))[0]
     return out

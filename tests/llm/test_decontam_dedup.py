@@ -86,6 +86,14 @@ def test_against_one_walk(spark):
     assert sum(passage in t for t in unit_dedup.brute_dedup(rows).values()) == 1
 
 
+def test_chains_of_short_sentences_stay():
+    r = random.Random(5)
+    rows = [(i, " ".join(f"{r.choice('abcdefgh')}{r.choice('xyz')}!" for _ in range(60))) for i in range(8)]
+    assert unit_dedup.brute_dedup(rows) == dict(rows)
+    passage = "Is onhe. " * 60
+    assert unit_dedup.brute_dedup([(1, passage), (2, passage)])[2].split() == []
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = {(r.doc_id, r.text, r.changed) for r in unit_dedup.dedup(odd_docs, min_words=5).collect()}
     assert (1, "", False) in got and (7, "", True) in got and (6, "Same text here for two rows, the very same text.", False) in got
