@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -131,8 +132,6 @@ def latest(a: str, b: str) -> str:
 
 
 def _normal(name: str) -> str:
-    import re
-
     return re.sub(r"[^a-z0-9_]", "", re.sub(r"[-\s.]+", "_", name.strip().lower()))
 
 

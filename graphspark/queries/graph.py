@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphspark.functions.props import Filter, all_of, plain
-from graphspark.model import Graph
+from graphspark.functions.names import entity_slug
+from graphspark.functions.props import Filter, all_of, bag, from_json, literal, plain
+from graphspark.model import BAG, Graph
 from graphspark.operators import aggregate, explore, mutate, read, scc, traverse
 from graphspark.operators.halfedges import half_edges
 from graphspark.plans.traversal import Projection, Repeat, Step, Traversal
@@ -49,8 +50,6 @@ def entity_scan_light(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 'customer:' || c_custkey AS id, c_name AS label, 'Customer:' || lower(replace(c_name, '#', '-')) AS slug FROM customer WHERE c_custkey = 7")
 def entity_by_slug(spark: SparkSession, d: str) -> DataFrame:
-    from graphspark.functions.names import entity_slug
-
     v = star_graph(spark, d, ("Customer",), ("IN_NATION",)).vertices
     v = v.withColumn("slug", entity_slug(F.col("type"), F.col("label")))
     wanted = v.where("id = 'customer:7'").first()["slug"]
@@ -101,8 +100,6 @@ def find_by_provenance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    from graphspark.functions.props import from_json
-
     return _table(spark, d, "events").select("event_id", from_json(F.col("props")).alias("properties"))
 
 
@@ -447,9 +444,6 @@ def delete_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 'customer:' || c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_mktsegment END AS segment, CASE WHEN c_custkey % 2 = 0 THEN 'gold' END AS tier FROM customer")
 def merge_patch(spark: SparkSession, d: str) -> DataFrame:
-    from graphspark.functions.props import bag, literal
-    from graphspark.model import BAG
-
     v = star_graph(spark, d, ("Customer",), ("PLACED",)).vertices
     even = F.expr("cast(substring(id, 10) as long) % 2 = 0")
     patch = F.when(even, bag(segment=literal(None), tier=literal("gold")).cast(BAG)).otherwise(F.create_map().cast(BAG))
