@@ -42,7 +42,7 @@ _ASCII = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 class _Tokens(dict):
     def __missing__(self, token: bytes) -> int:
         h = xxhash.xxh64_intdigest(token)
-        if len(self) >= 500_000:
+        if len(self) >= 60_000:
             self.clear()
         self[token] = h
         return h

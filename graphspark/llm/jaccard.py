@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from graphspark.llm.common import mix64, plain, size_checked, small_batches, stored, texts_of
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_REMEMBERED = 500_000
+_REMEMBERED = 60_000
 #: Rounds in which classes that meet in a signature are compared by their first and last ids, before all pairs are.
 ROUNDS = 1
 #: Rows of a block in the comparison of all pairs of a bucket.
