@@ -2,9 +2,10 @@
 
 Fixed masks over windows of tokens ignore some positions; the tokens at the others are hashed. Hashes of the
 benchmark's texts are joined with those of the training texts, so a window is found even when tokens at ignored
-positions were substituted. Around each hit the two texts are compared along the hit's diagonal; the best-scoring
-overlap (a match counts 1, a mismatch -2) that has at least `min_tokens` tokens (or a whole shorter benchmark
-text), a share `identity` of them equal, makes a pair.
+positions were substituted. Around each hit the two texts are compared along the hit's diagonal; any run of at least
+`min_tokens` tokens (or of a shorter benchmark text's length), a share `identity` of them equal, makes a pair. Reported is
+the best-scoring run (a match counts 1, a mismatch -2) where it meets both bounds, else the one with most to spare.
+The masks hit every run of 12 tokens or more with 80 % equal; benchmark texts shorter than that have a shorter mask, too.
 
 The benchmark is dealt into blocks of bounded size; each block's hash table is broadcast and meets every row of the
 training table, so no training text is shuffled and no block outgrows a worker, however large the benchmark.
@@ -32,9 +33,11 @@ from graphspark.llm.common import mix64, plain, small_batches, texts_of
 MASKS = ("111111", "11011011", "110100111", "1010110011", "11001010101", "101001100101")
 #: Tokens of a benchmark block, about.
 BLOCK_TOKENS = 2_000_000
+#: Only for benchmark texts of fewer tokens than SHORT: 3 tokens in a row are equal in 80 % of 6 to 11.
+SHORT, SHORT_MASK = 12, "111"
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
-_OFFSETS = [np.flatnonzero(np.frombuffer(m.encode(), np.uint8) == 49) for m in MASKS]
+_OFFSETS = [np.flatnonzero(np.frombuffer(m.encode(), np.uint8) == 49) for m in (*MASKS, SHORT_MASK)]
 # ASCII other than letters and digits separates tokens.
 _ASCII = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -84,7 +87,8 @@ class Index:
         kept = [(i, t) for i, text in rows if len(t := tokens(text or ""))]
         hashes, where = [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.int64)]
         for k, (_, t) in enumerate(kept):
-            for m in range(len(MASKS)):
+            short = min(map(len, MASKS)) <= len(t) < SHORT
+            for m in range(len(MASKS) + short):
                 h = seeds(t, m)
                 hashes.append(h)
                 where.append(np.column_stack([np.full(len(h), k), np.arange(len(h))]))
@@ -95,15 +99,26 @@ class Index:
         return Index([i for i, _ in kept], [t for _, t in kept], h[order], w[order], bloom)
 
 
-def best_overlap(a: np.ndarray, b: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """Along the diagonal a[i] against b[i - shift]: start in a, length and matches of the best-scoring run."""
+def best_overlap(a: np.ndarray, b: np.ndarray, shift: int, least: int, identity: float) -> tuple[int, int, int] | None:
+    """Along the diagonal a[i] against b[i - shift]: start in a, length and matches of a run of at least `least` tokens
+    with a share `identity` equal, or None if there is none."""
     lo, hi = max(0, shift), min(len(a), len(b) + shift)
     same = a[lo:hi] == b[lo - shift : hi - shift]
+    if not 0 < least <= len(same) or same.sum() < identity * least - 1e-9:
+        return None
     total = np.concatenate(([0], np.cumsum(np.where(same, 1, -2))))
-    least = np.minimum.accumulate(total)
-    end = int((total - least).argmax())
+    end = int((total - np.minimum.accumulate(total)).argmax())
     start = int(total[: end + 1].argmin())
-    return lo + start, end - start, int(same[start:end].sum())
+    n, equal = end - start, int(same[start:end].sum())
+    if n < least or equal < identity * n:
+        spare = np.concatenate(([0.0], np.cumsum(same - identity)))
+        over = spare[least:] - np.minimum.accumulate(spare[: len(spare) - least])
+        if over.max() < -1e-9:
+            return None
+        end = int(over.argmax()) + least
+        start = int(spare[: end - least + 1].argmin())
+        n, equal = end - start, int(same[start:end].sum())
+    return lo + start, n, equal
 
 
 def overlaps(texts: list[np.ndarray], index: Index, min_tokens: int, identity: float) -> list[tuple[int, int, int, int, int]]:
@@ -120,11 +135,11 @@ def overlaps(texts: list[np.ndarray], index: Index, min_tokens: int, identity: f
         if (doc, item, shift) in tried:
             return
         tried.add((doc, item, shift))
-        start, n, same = best_overlap(texts[doc], index.texts[item], shift)
-        if n >= min(min_tokens, len(index.texts[item])) and same >= identity * n and (n, same, -start) > best.get((doc, item), (0, 0, 0)):
-            best[doc, item] = (n, same, -start)
+        found = best_overlap(texts[doc], index.texts[item], shift, min(min_tokens, len(index.texts[item])), identity)
+        if found and (found[1], found[2], -found[0]) > best.get((doc, item), (0, 0, 0)):
+            best[doc, item] = (found[1], found[2], -found[0])
 
-    for m in range(len(MASKS)):
+    for m in range(len(MASKS) + any(len(t) < SHORT for t in index.texts)):
         h = seeds(joined, m)
         at = np.flatnonzero(index.bloom[h & np.uint64((1 << _BITS) - 1)])
         lo = np.searchsorted(index.hashes, h[at], side="left")
@@ -187,15 +202,21 @@ def keep_clean(df: DataFrame, benchmark: DataFrame, min_tokens: int = 12, identi
 
 
 def brute_pairs(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], min_tokens: int = 12, identity: float = 0.8) -> set[tuple[int, int]]:
-    """All pairs over all diagonals, without seeds; for tests."""
+    """All pairs over all diagonals and all runs, without seeds; for tests. A run of twice the least length or more can
+    be cut into shorter ones, one of which has the share if the run has it, so runs up to that length are enough."""
     out = set()
     for d, text in docs:
         a = tokens(text or "")
         for i, item in items:
             b = tokens(item or "")
-            for shift in range(-len(b) + 1, len(a)):
-                if len(b) >= min(map(len, MASKS)):
-                    _, n, same = best_overlap(a, b, shift)
-                    if n and n >= min(min_tokens, len(b)) and same >= identity * n:
-                        out.add((d, i))
+            least = min(min_tokens, len(b))
+            for shift in range(-len(b) + 1, len(a)) if len(b) >= min(map(len, MASKS)) else ():
+                lo, hi = max(0, shift), min(len(a), len(b) + shift)
+                same = a[lo:hi] == b[lo - shift : hi - shift]
+                if same.sum() < identity * least - 1e-9:
+                    continue
+                count = np.concatenate(([0], np.cumsum(same)))
+                if any((count[n:] - count[:-n] >= identity * n - 1e-9).any() for n in range(least, min(2 * least, len(same) + 1))):
+                    out.add((d, i))
+                    break
     return out

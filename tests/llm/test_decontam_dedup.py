@@ -39,6 +39,20 @@ def test_against_all_diagonals(spark):
     assert left == {i for i, _ in docs} - {d for d, _ in got}
 
 
+def test_any_run_with_the_share_counts():
+    r = random.Random(1)
+    cases = [(14, (8, 9)), (12, (0,)), (12, (11,)), (12, (3, 8)), (15, (4, 9, 12)), (20, (3, 8, 12, 16)), (7, (3,)), (10, (4, 6))]
+    docs, items = [], []
+    for k, (n, changed) in enumerate(cases):
+        w = words(r, n, 10**6)
+        items.append((k, " ".join(w)))
+        docs.append((k, " ".join(words(r, 30, 10**6) + [f"changed{j}" if j in changed else x for j, x in enumerate(w)] + words(r, 30, 10**6))))
+    docs.append((99, " ".join(words(r, 20, 10**6) + [x if j % 3 else "changed" for j, x in enumerate(items[5][1].split())])))  # two of three
+    found = decontam.overlaps([decontam.tokens(t) for _, t in docs], decontam.Index.of(items), 12, 0.8)
+    assert {(docs[f[0]][0], f[1]) for f in found} == {(k, k) for k in range(len(cases))} == decontam.brute_pairs(docs, items)
+    assert all(n >= min(12, cases[i][0]) and same >= 0.8 * n - 1e-9 for _, i, _, n, same in found)
+
+
 def test_odd_benchmarks(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "same text"), (4, "same text here for two rows the very same text"), (4, "same text here for two rows the very same text")], "item_id long, text string")
     got = decontam.contaminations(odd_docs, bench).collect()
