@@ -7,7 +7,8 @@ rejected. Every row takes part in the estimates; each step is one aggregation ov
 a group of any size, also one with a third of all rows, is summed on the map side and meets in a bounded number of rows.
 
 Defined cases: a null or empty text has all counts 0 and fails the base rule on n_words; null lang or source form
-groups of their own; a group of fewer than `least` rows is judged by its language, a language of fewer by all rows;
+groups of their own; a group of fewer than `least` rows is judged by its language, a language of fewer by all rows,
+and those estimates come from all rows of the language or table, also of groups that have their own;
 constant statistics get a floor of variance, so ties don't make the scatter singular; repeated rows count each; an
 empty table gives no rows; extra columns are ignored.
 """
@@ -98,20 +99,29 @@ def _distance() -> Column:
     return sum((off[i] * off[j] * F.col("inv")[i * d + j] * (1 if i == j else 2) for i in range(d) for j in range(i, d)), F.lit(0.0))
 
 
+def _levels() -> tuple[Column, Column, Column]:
+    """Names of the groups that a row is in: language and source, language, all. No two levels share a name."""
+    pair, every = F.struct("lang", "source"), {"ignoreNullFields": "false"}
+    fine = F.when(F.col("source").isNull() & F.col("lang").isNotNull(), F.to_json(pair, every)).otherwise(F.to_json(pair))
+    return fine, F.to_json(F.struct("lang"), every), F.lit("all")
+
+
 def grouped(stats: DataFrame, least: int) -> DataFrame:
     """stats with grp: language and source, or the language, or all, whichever first has `least` rows."""
-    fine = F.to_json(F.struct("lang", "source"))
-    coarse = F.to_json(F.struct("lang"))
+    fine, coarse, every = _levels()
     sizes = stats.where(~base_failed()).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_fine"))
     per_lang = sizes.groupBy("lang").agg(F.sum("n_fine").alias("n_lang"))
     names = sizes.alias("a").join(per_lang.alias("b"), F.col("a.lang").eqNullSafe(F.col("b.lang"))).select(F.col("a.lang").alias("g_lang"), F.col("a.source").alias("g_source"), "n_fine", "n_lang")
     named = stats.join(size_checked(stored(names, "groups")), F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
-    return named.withColumn("grp", F.when(F.col("n_fine") >= least, fine).when(F.col("n_lang") >= least, coarse).otherwise("all")).drop("g_lang", "g_source", "n_fine", "n_lang")
+    return named.withColumn("grp", F.when(F.col("n_fine") >= least, fine).when(F.col("n_lang") >= least, coarse).otherwise(every)).drop("g_lang", "g_source", "n_fine", "n_lang")
 
 
 def estimates(stats: DataFrame, core: float, steps: int) -> DataFrame:
-    """grp, mean and inverse covariance, from the rows that the base rules keep."""
+    """grp, mean and inverse covariance, from the rows that the base rules keep. Each row counts in its language and
+    source, its language and the whole, as far as some row is judged by them."""
     ok = stats.where(~base_failed())
+    used = size_checked(stored(ok.select("grp").distinct(), "levels"))
+    ok = ok.select("z", F.explode(F.array(*_levels())).alias("grp")).join(used, "grp", "left_semi")
     d = len(VECTOR)
     hist = ok.select("grp", F.posexplode("z").alias("dim", "v")).groupBy("grp", "dim", F.round(F.least("v", F.lit(_MOST)) * _GRID).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     params = stored(hist.groupBy("grp").applyInPandas(_start, _PARAMS), "estimates")

@@ -49,6 +49,15 @@ def test_small_groups_fall_back(spark):
     assert groups == {("en", '{"lang":"en"}'), ("fr", "all"), (None, "{}")}
 
 
+def test_fallbacks_use_all_rows_of_the_language_and_table(spark):
+    r = np.random.default_rng(3)
+    row = lambda lang, source, at: (lang, source, 100, 0, [float(x) for x in r.normal(at, 0.1, 6)])
+    rows = [row("en", "hot", 0.5) for _ in range(200)] + [row("en", None, 0.5) for _ in range(150)] + [row("en", f"s{i}", 3.0) for i in range(3)] + [row("fr", "x", 3.0) for _ in range(2)]
+    frame = spark.createDataFrame(rows, "lang string, source string, n_words long, n_repeat_words long, z array<double>")
+    est = {e.grp: np.array(e.mu) for e in quality.estimates(quality.grouped(frame, 100), 0.75, 4).collect()}
+    assert len(est) == 4 and all(abs(mu - 0.5).max() < 0.05 for mu in est.values())
+
+
 def test_rows(spark, odd_docs, no_docs):
     got = quality.judge(odd_docs).collect()
     assert len(got) == 10
