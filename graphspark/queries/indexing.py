@@ -200,8 +200,8 @@ def _entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _relationships(spark: SparkSession, d: str) -> DataFrame:
-    """Lineitems of early orders as relationships from a part's alias to that of the next line, or to nothing."""
-    l = _table(spark, d, "lineitem").where("l_orderkey < 2000").join(_table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")  # noqa: E741
+    """Lineitems as relationships from a part's alias to that of the next line, or to nothing."""
+    l = _table(spark, d, "lineitem").join(_table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")  # noqa: E741
     target = F.when(F.col("l_suppkey") % 9 == 0, F.lit("nobody")).otherwise(F.concat(F.lit("a"), F.col("l_partkey").cast("string")))
     start = (F.col("l_partkey") % 4 + 1).cast("int")
     return l.select(F.col("p_brand").alias("source"), (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("ord"), F.lit("USES").alias("type"), F.concat(F.lit("A"), F.col("l_partkey").cast("string")).alias("source_label"), target.alias("target_label"), F.array(F.struct(start.alias("start"), (start + 2).alias("end"))).alias("refs"), F.create_map().cast(BAG).alias("properties")).dropDuplicates(["ord"])
