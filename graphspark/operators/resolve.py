@@ -49,18 +49,20 @@ def merge_candidates(candidates: DataFrame) -> DataFrame:
     return rows.repartition("type").sortWithinPartitions("type", "ord").mapInPandas(run, "type string, ord long, canonical long")
 
 
-def connected_candidates(candidates: DataFrame, rounds: int = 20) -> DataFrame:
+def connected_candidates(candidates: DataFrame) -> DataFrame:
     """As merge_candidates(), but candidates tied by any chain of shared names join, whatever their order. This is a
-    distributed label propagation over names; it may join more than the pass in order does."""
+    distributed label propagation over names until nothing changes; each round also takes over the label of the own
+    label, which shortens long chains. It may join more than the pass in order does."""
     names = stored(names_of(candidates).select("type", F.col("ord").cast("long").alias("ord"), "name"), "names")
     labels = names.select("type", "ord").distinct().withColumn("canonical", F.col("ord"))
-    for _ in range(rounds):
+    while True:
         by_name = names.join(labels, ["type", "ord"]).groupBy("type", "name").agg(F.min("canonical").alias("low"))
         new = stored(names.join(by_name, ["type", "name"]).groupBy("type", "ord").agg(F.min("low").alias("canonical")), "labels")
+        onward = new.select("type", F.col("ord").alias("canonical"), F.col("canonical").alias("next"))
+        new = stored(new.join(onward, ["type", "canonical"]).select("type", "ord", F.col("next").alias("canonical")), "labels")
         if new.join(labels, ["type", "ord", "canonical"], "left_anti").isEmpty():
             return new
         labels = new
-    return labels
 
 
 def merged(candidates: DataFrame, assigned: DataFrame) -> DataFrame:

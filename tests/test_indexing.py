@@ -109,6 +109,13 @@ def test_consolidation(spark):
     assert resolve.merge_log(c, resolve.merge_candidates(c)).count() == 2
 
 
+def test_long_chains_join(spark):
+    names = [("T", i, f"n{i}", [f"n{i + 1}"]) for i in range(70)] + [("U", i, f"n{i}", [f"n{i + 1}"]) for i in (3, 4, 6)]
+    c = spark.createDataFrame(names, "type string, ord long, label string, aliases array<string>")
+    tied = {(r.type, r.ord): r.canonical for r in resolve.connected_candidates(c).collect()}
+    assert tied == {("T", i): 0 for i in range(70)} | {("U", 3): 3, ("U", 4): 3, ("U", 6): 6}
+
+
 def test_registry(spark):
     reg = spark.createDataFrame([("1", "E", "Komatsu 930E", ["930E", "930E-4"]), ("2", "E", "Cat 793F", ["793F"]), ("3", "Fluid", "SAE 15W-40", [])], "id string, type string, label string, aliases array<string>")
     rows = spark.createDataFrame([(1, "E", "komatsu 930e"), (2, "E", "793f"), (3, "E", "Komatsu 930F"), (4, "E", "SAE 15W-40"), (5, "E", "nothing")], "key int, type string, label string")
