@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -89,8 +90,10 @@ def match_registry(rows: DataFrame, registry: DataFrame, threshold: float = FUZZ
     """rows (key, type, label) with entry, matched_by and confidence of the registry (id, type, label, aliases): by
     slug (1.0), then alias (0.9), then Jaro-Winkler within the type; null if nothing matches.
 
-    The fuzzy stage compares within a type and a band of lengths: similarity of 0.9 or more needs the shorter label to
-    have at least 0.55 of the longer one's length (the Jaro part alone must reach 5/6), so other lengths are never paired."""
+    The fuzzy stage compares within a type and near bands of lengths, of factor 2. With the boost for a common prefix
+    the Jaro part must reach (threshold - 0.4) / 0.6, and it is at most (2 + r) / 3 for a ratio r of lengths, so pairs
+    of a ratio under 5 * threshold - 4 (a half for 0.9) cannot match and are left out."""
+    ratio = 5 * threshold - 4
     rows = rows.select("key", "type", "label", F.lower("label").alias("low"), slug(F.col("label")).alias("slug"))
     reg = registry.select(F.col("id").alias("entry"), "type", F.lower("label").alias("entry_low"), slug(F.col("label")).alias("slug"), "aliases", "label")
     first = lambda f, c, how: f.groupBy("key").agg(F.min("entry").alias("entry"), F.max(c).alias("confidence")).withColumn("matched_by", F.lit(how))
@@ -99,10 +102,13 @@ def match_registry(rows: DataFrame, registry: DataFrame, threshold: float = FUZZ
     names = names_of(reg).select("type", "entry", F.col("name").alias("low"))
     by_alias = first(rest.join(names, ["type", "low"]).withColumn("c", F.lit(0.9)), "c", "alias")
     rest = rest.join(by_alias.select("key"), "key", "left_anti")
-    band = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1)).cast("double")) / F.log(F.lit(1 / 0.55)))
-    left = rest.withColumn("band", F.explode(F.array(*[band("low") + d for d in (-1, 0, 1)])))
+    # the number of binary digits of the length, or one band where no ratio is ruled out
+    band = lambda c: F.length(F.bin(F.greatest(F.length(c), F.lit(1)).cast("long"))) if ratio > 0 else F.lit(0)
+    reach = math.ceil(-math.log2(ratio)) if 0 < ratio < 1 else 0
+    left = rest.withColumn("band", F.explode(F.array(*[band("low") + d for d in range(-reach, reach + 1)])))
     right = reg.withColumn("band", band("entry_low"))
-    scored = left.join(right.select("type", "band", "entry", "entry_low"), ["type", "band"]).withColumn("c", jaro_winkler("low", "entry_low")).where(F.col("c") >= threshold)
+    near = F.least(F.length("low"), F.length("entry_low")) >= (ratio - 1e-9) * F.greatest(F.length("low"), F.length("entry_low"))
+    scored = left.join(right.select("type", "band", "entry", "entry_low"), ["type", "band"]).where(near).withColumn("c", jaro_winkler("low", "entry_low")).where(F.col("c") >= threshold)
     by_jw = scored.groupBy("key").agg(F.min_by("entry", F.struct(-F.col("c"), F.col("entry"))).alias("entry"), F.max("c").alias("confidence")).withColumn("matched_by", F.lit("fuzzy"))
     found = by_slug.unionByName(by_alias).unionByName(by_jw)
     return rows.select("key", "type", "label").join(found, "key", "left")

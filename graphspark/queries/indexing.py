@@ -366,7 +366,7 @@ def registry_match(spark: SparkSession, d: str) -> DataFrame:
     p, k = _table(spark, d, "part"), F.col("p_partkey")
     name = F.concat("p_name", F.lit(" "), k.cast("string"))
     label = F.when(k % 4 == 0, F.upper(name)).when(k % 4 == 1, F.concat(F.lit("ALIAS-"), (k % 700).cast("string"))).when(k % 4 == 2, F.concat(name, F.lit("x"))).otherwise(F.reverse(name))
-    return resolve.match_registry(p.where("p_partkey <= 400").select(k.alias("key"), F.col("p_brand").alias("type"), label.alias("label")), _registry(spark, d)).select("key", "entry", "matched_by", F.round("confidence", 6).alias("confidence"))
+    return resolve.match_registry(p.select(k.alias("key"), F.col("p_brand").alias("type"), label.alias("label")), _registry(spark, d)).select("key", "entry", "matched_by", F.round("confidence", 6).alias("confidence"))
 
 
 @query("""WITH e AS (SELECT 'part:' || p_partkey AS id, 'a' || p_partkey AS name FROM part), r AS (SELECT DISTINCT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS ord, l_partkey, l_suppkey % 9 = 0 AS lost FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey < 2000)

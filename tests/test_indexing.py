@@ -123,6 +123,25 @@ def test_registry(spark):
     assert got == {1: ("1", "slug"), 2: ("2", "alias"), 3: ("1", "fuzzy"), 4: (None, None), 5: (None, None)}
 
 
+def test_registry_reaches_half_the_length(spark):
+    from graphspark.functions.similarity import jaro_winkler_of
+
+    word = "abcdefghijklmnopqrstuvwxyz0123456789" * 3
+    pairs = [(n, m) for n in (3, 6, 9, 17, 19, 34, 36) for m in range(n + 1, 2 * n + 2)]
+    rows = spark.createDataFrame([(k, f"T{k}", word[:n]) for k, (n, m) in enumerate(pairs)] + [(-1, "E", "engine")], "key int, type string, label string")
+    reg = spark.createDataFrame([(str(k), f"T{k}", word[:m], []) for k, (n, m) in enumerate(pairs)] + [("e", "E", "engineering", [])], "id string, type string, label string, aliases array<string>")
+    for threshold in (0.9, 0.8):
+        got = {r.key for r in resolve.match_registry(rows, reg, threshold).collect() if r.entry is not None}
+        assert got == {k for k, (n, m) in enumerate(pairs) if jaro_winkler_of(word[:n], word[:m]) >= threshold} | {-1}
+
+
+def test_registry_query_covers_all_parts(spark):
+    from graphspark import catalogue
+
+    got = catalogue.queries()["registry_match"](spark, "/root/testdata/sf0.01")
+    assert got.count() == got.select("key").distinct().count() == spark.read.parquet("/root/testdata/sf0.01/part.parquet").count()
+
+
 def test_relationship_resolution(spark):
     e = spark.createDataFrame([("a", "P", "Alice", ["Al"]), ("b", "C", "Acme", []), ("c", "P", "Acme", [])], "id string, type string, label string, aliases array<string>")
     r = spark.createDataFrame([(1, "WORKS_AT", "al", "acme"), (2, "WORKS_AT", "Alice", "ACME"), (3, "WORKS_AT", "bob", "acme")], "ord long, type string, source_label string, target_label string").withColumn("properties", F.create_map().cast(BAG))
