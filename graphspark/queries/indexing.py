@@ -16,6 +16,7 @@ from graphspark.functions.similarity import cosine, jaro_winkler
 from graphspark.model import BAG, EntityType, Graph, Property, RelationshipType, Vocabulary
 from graphspark.operators import corrections, extraction, planning, resolve, search, timeline, vocabulary
 from graphspark.operators import text as lines
+from graphspark.plans.scratch import size_checked
 from graphspark.sources.star_graph import star_graph
 from graphspark.streaming.incremental import event_counts
 
@@ -118,14 +119,13 @@ def label_keys(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def jaro_winkler_names(spark: SparkSession, d: str) -> DataFrame:
     p = _table(spark, d, "part").select("p_type").distinct()
-    a, b = p.select(F.col("p_type").alias("a"), F.substring("p_type", 1, 3).alias("k")), p.select(F.col("p_type").alias("b"), F.substring("p_type", 1, 3).alias("k"))
-    return a.join(b, "k").where("a < b").select("a", "b", F.round(jaro_winkler("a", "b"), 6).alias("score"))
+    return p.select(F.col("p_type").alias("a")).crossJoin(size_checked(p.select(F.col("p_type").alias("b")))).where("a < b").select("a", "b", F.round(jaro_winkler("a", "b"), 6).alias("score"))
 
 
 @query()
 def type_dedup(spark: SparkSession, d: str) -> DataFrame:
     p = _table(spark, d, "part").select(F.col("p_type").alias("name")).distinct()
-    return resolve.similar_names(p, p.where("name like 'S%'"), 0.9).select("a", "b", F.round("score", 6).alias("score"))
+    return resolve.similar_names(p, p, 0.9).select("a", "b", F.round("score", 6).alias("score"))
 
 
 # --- vocabulary -----------------------------------------------------------------------------------------------------
@@ -240,7 +240,7 @@ def label_quality(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_E}, d AS (SELECT DISTINCT type, lower(label) AS key FROM E WHERE ord % 10 = 0) SELECT type, count(*) AS labels, CAST(4 AS BIGINT) AS values, count(*) AS matched, CAST(1.0 AS DOUBLE) AS dominance, round(count(*) / 4, 2) AS coverage FROM d GROUP BY type HAVING count(*) / 4 >= 0.6")
 def enum_checklist(spark: SparkSession, d: str) -> DataFrame:
-    e = _entities(spark, d).where("ord % 10 = 0")
+    e = _entities(spark, d)
     controlled = e.select("type").distinct().withColumn("value", F.explode(F.array(*[F.lit(f"L{k}") for k in (0, 10, 20, 30)])))
     return extraction.enum_checklist(e, controlled)
 
