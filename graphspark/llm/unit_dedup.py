@@ -3,7 +3,8 @@
 A text is cut into units: paragraphs (between blank lines), lines, or sentences of lines (the default, as repeated
 passages often stand inside a line). Units are normalised (lower case, white space as one space) and hashed to 128
 bits. Of each digest the earliest occurrence, by doc_id and then place, is kept. In each text a run of neighbouring
-units that all occurred earlier is removed if it has `min_words` words or more. A unit of few words counts as repeated
+units that all occurred earlier is removed if it has `min_words` words or more. A whole line or paragraph of CONTEXT
+words or more that stood as one earlier is removed whatever the length of its run. A unit of few words counts as repeated
 only together with the words that follow it, so chance repetitions of short sentences stay. What is kept is returned with its offsets in the original text (code points, end exclusive).
 
 Digests are pre-aggregated before the shuffle: within a batch of rows only the earliest occurrence goes to the
@@ -31,6 +32,9 @@ from graphspark.llm.common import mix64, plain, small_batches, stored, texts_of
 _CUTS = {"paragraph": re.compile(r"\n[ \t]*\n\s*"), "line": re.compile(r"\n+"), "sentence": re.compile(r"\n+|(?<=[.!?])[ \t]+")}
 #: A unit of fewer words repeats by chance: it is hashed together with what follows, up to so many words.
 CONTEXT = 8
+#: Whole lines and paragraphs are numbered from here on, behind all units.
+WHOLE = 1 << 30
+_SPACE = re.compile(r"\s*")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,23 +63,36 @@ def normal_units(text: str, kind: str = "sentence") -> list[str]:
     return out
 
 
-def _digests(text: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """The halves of each unit's digest, as signed 64-bit numbers."""
+def wholes(text: str) -> list[tuple[int, int, str]]:
+    """Offsets and words of the lines and paragraphs of CONTEXT words or more, by place; a paragraph of one line is
+    there once."""
+    out = {}
+    for kind in ("line", "paragraph"):
+        for a, b in units(text, kind):
+            part = text[a:b]
+            a, b = a + len(part) - len(part.lstrip()), a + len(part.rstrip())
+            if (a, b) not in out and len(words := part.lower().split()) >= CONTEXT:
+                out[a, b] = " ".join(words)
+    return [(a, b, out[a, b]) for a, b in sorted(out)]
+
+
+def _digests(text: str, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The halves of the digests of units and wholes, as signed 64-bit numbers, and their numbers."""
     raw = [xxhash.xxh3_128_digest(u) for u in normal_units(text, kind)]
-    both = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
-    return both[:, 0], both[:, 1]
+    whole = [xxhash.xxh3_128_digest("\n" + w) for _, _, w in wholes(text)]
+    both = np.frombuffer(b"".join(raw + whole), np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1], np.concatenate([np.arange(len(raw)), WHOLE + np.arange(len(whole))]).astype(np.int32)
 
 
 def _spread(kind: str):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cut = [_digests(t, kind) for t in texts_of(b)]
-            count = [len(x) for x, _ in cut]
+            count = [len(x) for x, _, _ in cut]
             if not sum(count):
                 continue
-            hi, lo = (np.concatenate([c[i] for c in cut]) for i in (0, 1))
+            hi, lo, unit = (np.concatenate([c[i] for c in cut]) for i in (0, 1, 2))
             doc = np.repeat(np.asarray(b.column("doc_id")), count)
-            unit = np.concatenate([np.arange(n, dtype=np.int32) for n in count])
             order = np.lexsort((unit, doc, lo, hi))
             hi, lo, doc, unit = hi[order], lo[order], doc[order], unit[order]
             first = np.concatenate(([True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])))
@@ -111,7 +128,8 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def removed_runs(text: str, later: set[int], kind: str, min_words: int) -> list[tuple[int, int]]:
-    """Offsets of the runs of repeated units with min_words words or more."""
+    """Offsets of the runs of repeated units with min_words words or more, and of the repeated wholes, joined where
+    they meet."""
     out: list[tuple[int, int]] = []
     run: list[tuple[int, int]] = []
     for k, span in enumerate([*units(text, kind), (len(text), len(text))]):
@@ -121,6 +139,16 @@ def removed_runs(text: str, later: set[int], kind: str, min_words: int) -> list[
             if len(text[run[0][0] : run[-1][1]].split()) >= min_words:
                 out.append((run[0][0], span[0]))  # with the white space that follows
             run = []
+    if any(k >= WHOLE for k in later):
+        # with the white space that follows
+        out += [(a, _SPACE.match(text, b).end()) for k, (a, b, _) in enumerate(wholes(text)) if WHOLE + k in later]
+        apart: list[tuple[int, int]] = []
+        for a, b in sorted(out):
+            if apart and a <= apart[-1][1]:
+                apart[-1] = (apart[-1][0], max(b, apart[-1][1]))
+            else:
+                apart.append((a, b))
+        out = apart
     return out
 
 
@@ -171,7 +199,8 @@ def brute_dedup(rows: list[tuple[int, str]], kind: str = "sentence", min_words:
     out = {}
     for i, t in sorted({i: t for i, t in rows if i is not None}.items()):
         later = set()
-        for k, u in enumerate(normal_units(t or "", kind)):
+        named = [*enumerate(normal_units(t or "", kind)), *((WHOLE + k, "\n" + w) for k, (_, _, w) in enumerate(wholes(t or "")))]
+        for k, u in named:
             if first.setdefault(u, (i, k)) != (i, k):
                 later.add(k)
         out[i] = without(t or "", removed_runs(t or "", later, kind, min_words))[0]

@@ -108,6 +108,16 @@ def test_chains_of_short_sentences_stay():
     assert unit_dedup.brute_dedup([(1, passage), (2, passage)])[2].split() == []
 
 
+def test_repeated_lines_and_paragraphs_go_whatever_their_run(spark):
+    line, stub = "This one line of nine words stands in many", "only four words here"
+    table = "a b c d\ne f g h\ni j k l"
+    rows = [(1, f"First own text.\n{line}\nMore.\n\n{table}\n"), (2, f"{line}  \n{stub}\nSecond own text.\n{line}"), (3, f"Third {line}\n{stub}\n\n{table}\n\nEnd."), (4, f"  {line.upper()}")]
+    want = {1: rows[0][1], 2: f"{stub}\nSecond own text.\n", 3: f"Third {line}\n{stub}\n\nEnd.", 4: "  "}
+    assert unit_dedup.brute_dedup(rows) == want
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.text for r in unit_dedup.dedup(frame).collect()} == want
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = {(r.doc_id, r.text, r.changed) for r in unit_dedup.dedup(odd_docs, min_words=5).collect()}
     assert (1, "", False) in got and (7, "", True) in got and (6, "Same text here for two rows, the very same text.", False) in got
