@@ -451,7 +451,7 @@ def merge_patch(spark: SparkSession, d: str) -> DataFrame:
     return v.select("id", p["segment"]["s"].alias("segment"), p["tier"]["s"].alias("tier"))
 
 
-@query("SELECT 'order:' || l_orderkey AS id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INTEGER) AS wave FROM lineitem WHERE l_orderkey < 500")
+@query("SELECT 'order:' || l_orderkey AS id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INTEGER) AS wave FROM lineitem")
 def import_waves(spark: SparkSession, d: str) -> DataFrame:
     l = _table(spark, d, "lineitem")  # noqa: E741
     return mutate.import_waves(l.select(F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("id"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("ord"))).select("id", "wave")

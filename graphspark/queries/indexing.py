@@ -208,7 +208,7 @@ def _relationships(spark: SparkSession, d: str) -> DataFrame:
 
 
 _E = """E AS (SELECT p_brand AS source, p_partkey AS ord, split_part(p_type, ' ', 1) AS type, CASE WHEN p_partkey % 10 = 0 THEN 'L' || (p_partkey % 40) WHEN p_partkey % 23 = 0 THEN '{x' WHEN p_partkey % 29 = 0 THEN '12345' ELSE p_name || ' ' || p_partkey END AS label, p_partkey % 8 = 0 AS bare, p_size, CAST(trunc(p_retailprice) AS BIGINT) AS price FROM part)"""
-_R = """R AS (SELECT DISTINCT p_brand AS source, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS ord, l_partkey, l_suppkey % 9 = 0 AS lost, l_partkey % 4 + 1 AS start FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey < 2000)"""
+_R = """R AS (SELECT DISTINCT p_brand AS source, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS ord, l_partkey, l_suppkey % 9 = 0 AS lost, l_partkey % 4 + 1 AS start FROM lineitem JOIN part ON p_partkey = l_partkey)"""
 
 
 @query(f"WITH {_E} SELECT source, count(*) FILTER (bare) AS bare, count(*) AS total, round(100.0 * count(*) FILTER (bare) / count(*), 2) AS share, CASE WHEN 100 - round(100.0 * count(*) FILTER (bare) / count(*), 2) >= 95 THEN 'good' WHEN 100 - round(100.0 * count(*) FILTER (bare) / count(*), 2) >= 90 THEN 'acceptable' ELSE 'needs-work' END AS rating FROM E GROUP BY source")
@@ -369,7 +369,7 @@ def registry_match(spark: SparkSession, d: str) -> DataFrame:
     return resolve.match_registry(p.select(k.alias("key"), F.col("p_brand").alias("type"), label.alias("label")), _registry(spark, d)).select("key", "entry", "matched_by", F.round("confidence", 6).alias("confidence"))
 
 
-@query("""WITH e AS (SELECT 'part:' || p_partkey AS id, 'a' || p_partkey AS name FROM part), r AS (SELECT DISTINCT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS ord, l_partkey, l_suppkey % 9 = 0 AS lost FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey < 2000)
+@query("""WITH e AS (SELECT 'part:' || p_partkey AS id, 'a' || p_partkey AS name FROM part), r AS (SELECT DISTINCT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS ord, l_partkey, l_suppkey % 9 = 0 AS lost FROM lineitem JOIN part ON p_partkey = l_partkey)
 SELECT ord, 'part:' || l_partkey AS source_id, CASE WHEN lost THEN NULL ELSE 'part:' || l_partkey END AS target_id FROM r""")
 def resolve_relationships(spark: SparkSession, d: str) -> DataFrame:
     p = _table(spark, d, "part")

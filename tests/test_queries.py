@@ -9,7 +9,7 @@ import pytest
 
 from graphspark import catalogue
 
-from conftest import SMALL
+from paths import SMALL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -14,7 +14,7 @@ from graphspark.sources import archive, code_repository, documents, vocabulary_m
 from graphspark.sources.star_graph import star_graph
 from graphspark.streaming.incremental import event_counts, import_stream
 
-from conftest import SMALL
+from paths import SMALL
 
 VOCABULARY = Vocabulary((EntityType("Nation", properties=(Property("k", "enum", values=("a",)),)),), (RelationshipType("TRADES_WITH", sources=("Nation",), bidirectional=True),), "1.2.0")
 
