@@ -2,13 +2,19 @@
 
 The base patterns give emails, IP addresses, card and phone numbers. The sequence model, trained in numpy on
 labelled spans, adds spans in notations that the patterns don't know (spaced or bracketed emails, phone numbers
-without a plus, cards with other separators, ...). A text is covered by overlapping windows; each is decoded on its
-own, a span is taken from the window that holds it whole, and overlapping spans are reconciled over the whole text by
-weighted interval scheduling. A window without any digit, '@' or bracketed "at" can hold no span of the four kinds, so
-its decoding is "nothing" by definition and skipped; windows everywhere in the text are looked at.
+without a plus, cards with other separators, ...). Its training windows are prose with spans and look-alikes put in,
+the prose being a bounded sample of the table's own. Every text is covered by overlapping windows and each is decoded,
+whatever it holds; a span is taken from the window that holds it whole, one that touches an inner edge is decoded
+anew in a wider window around it, and overlapping spans are reconciled over the whole text by weighted interval
+scheduling. Taken are spans whose score, the mean margin of their tags over "O", reaches MARGIN; what a character model
+cannot see, digits' sums, is checked exactly: cards pass Luhn, the four parts of an address are at most 255.
+
+A window whose emissions prove that no path beats the one without spans (each position's best margin plus the largest
+gains from transitions is at most 0) needs no backtracking; that is exact.
 
 Defined cases: null and empty texts have no spans; texts of any length are covered whole; repeated rows and null
-ids each give a row; an empty table gives no rows; extra columns are ignored; equal scores go to the earlier span.
+ids each give a row; an empty table gives no rows, and trains on invented prose; extra columns are ignored; equal
+scores go to the earlier span.
 """
 
 from __future__ import annotations
@@ -71,8 +77,11 @@ def base_spans(text: str) -> list[Span]:
 # --- the sequence model -------------------------------------------------------------------------------------------
 
 #: Windows: characters and step; a span of up to WIDTH - STEP characters lies whole in some window.
-WIDTH, STEP = 96, 48
-_TRIGGER = re.compile(r"[0-9@]|[\[({]\s?at\s?[\])}]", re.I)
+WIDTH, STEP = 192, 144
+#: Windows that are decoded at a time, and the widest window around a span that touches an edge.
+AT_ONCE, WIDEST = 768, 1536
+#: The least score of a span.
+MARGIN = 0.0
 TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 
 
@@ -90,7 +99,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Tagger:
     """Embedding, one LSTM in each direction, a linear layer to tags and CRF transitions; all arrays are numpy's."""
 
-    def __init__(self, dim: int = 14, hidden: int = 20, seed: int = 7) -> None:
+    def __init__(self, dim: int = 12, hidden: int = 16, seed: int = 7) -> None:
         r, n = np.random.default_rng(seed), len(TAGS)
         self.h = hidden
         init = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
@@ -170,8 +179,10 @@ class Tagger:
         np.add.at(grad["E"], codes, dx)
         return float((z - gold).mean()), {key: v / n for key, v in grad.items()}
 
-    def fit(self, codes: np.ndarray, tags: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.012) -> None:
+    def fit(self, codes: np.ndarray, tags: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.025) -> None:
+        """Adam with a falling rate; the result is the mean of the weights over the last quarter of the steps."""
         r, m, v, step = np.random.default_rng(1), {}, {}, 0
+        total, mean = epochs * -(-len(codes) // batch), {}
         for epoch in range(epochs):
             order = r.permutation(len(codes))
             for lo in range(0, len(order), batch):
@@ -182,42 +193,101 @@ class Tagger:
                     g = g * min(1, 5 / (norm + 1e-9))
                     m[key] = 0.9 * m.get(key, 0) + 0.1 * g
                     v[key] = 0.99 * v.get(key, 0) + 0.01 * g * g
-                    lr = rate * (1 - epoch / epochs)
+                    lr = rate * max(0.05, 1 - step / total)
                     self.p[key] -= (lr * (m[key] / (1 - 0.9**step)) / (np.sqrt(v[key] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                    if 4 * step > 3 * total:
+                        mean[key] = mean.get(key, 0) + self.p[key].astype(np.float64)
+        if mean:
+            self.p = {key: (x / (total - 3 * total // 4)).astype(np.float32) for key, x in mean.items()}
+
+    def tables(self) -> tuple[dict, np.ndarray, np.ndarray]:
+        """What decoding needs of each direction, (gate inputs by character, recurrent weights, output weights), with the
+        sigmoid's factor put in; the transitions; and the transitions' gain at a start."""
+        h, dim, by = self.h, self.p["E"].shape[1], {}
+        scale = np.repeat(np.float32([0.5, 0.5, 0.5, 1]), h)[:, None]
+        for k, d in enumerate("fb"):
+            w = self.p[f"W{d}"]
+            inputs = scale * (self.p["E"] @ w[:dim] + self.p[f"g{d}"]).T
+            by[d] = np.ascontiguousarray(inputs), np.ascontiguousarray(scale * w[dim:].T), np.ascontiguousarray(self.p["V"][k * h : (k + 1) * h].T)
+        return by, self.p["T"] + self.barred, self.p["S"] + self.barred_start
+
+    def fast_emissions(self, codes: np.ndarray) -> np.ndarray:
+        """The emissions (steps, tags, windows) of codes (windows, steps)."""
+        by, _, _ = self.tables()
+        n, steps = codes.shape
+        h, across = self.h, np.ascontiguousarray(codes.T)
+        em = np.empty((steps, len(TAGS), n), np.float32)
+        em[:] = self.p["c"][:, None]
+        gates, cell, state, new = (np.empty((k * h, n), np.float32) for k in (4, 1, 1, 1))
+        rec, part = np.empty_like(gates), np.empty((len(TAGS), n), np.float32)
+        for d in "fb":
+            inputs, recurrent, out = by[d]
+            cell[:] = 0
+            state[:] = 0
+            for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+                np.take(inputs, across[t], axis=1, out=gates, mode="clip")
+                np.matmul(recurrent, state, out=rec)
+                gates += rec
+                np.tanh(gates, out=gates)
+                sig = gates[: 3 * h]
+                sig *= 0.5
+                sig += 0.5
+                cell *= gates[h : 2 * h]
+                np.multiply(gates[:h], gates[3 * h :], out=new)
+                cell += new
+                np.tanh(cell, out=new)
+                np.multiply(gates[2 * h : 3 * h], new, out=state)
+                np.matmul(out, state, out=part)
+                em[t] += part
+        return em
 
     def decode(self, codes: np.ndarray, lengths: np.ndarray) -> list[list[tuple[int, int, str, float]]]:
         """Best tag sequence of each window as spans with a score: the mean margin of the tags over "O"."""
-        em, _ = self.emissions(codes)
-        n, steps, k = em.shape
-        trans = self.p["T"] + self.barred
-        score, back = self.p["S"] + self.barred_start + em[:, 0], np.zeros((n, steps, k), np.int64)
-        for t in range(1, steps):
-            a = score[:, :, None] + trans
-            back[:, t] = a.argmax(1)
-            live = (t < lengths)[:, None]
-            score = np.where(live, a.max(1) + em[:, t], score)
-            back[:, t] = np.where(live, back[:, t], np.arange(k))
-        tag, path = score.argmax(1), np.zeros((n, steps), np.int64)
-        for t in range(steps - 1, -1, -1):
-            path[:, t] = tag
-            tag = back[np.arange(n), t, tag] if t else tag
-        out = []
-        for i in range(n):
-            spans, row, t = [], path[i], 0
-            while t < lengths[i]:
-                if row[t]:
-                    e = t + 1
-                    while e < lengths[i] and row[e] and TAGS[row[e]][0] == "I":
-                        e += 1
-                    margin = float(np.mean(em[i, np.arange(t, e), row[t:e]] - em[i, t:e, 0]))
-                    spans.append((t, e, TAGS[row[t]][2:], margin))
-                    t = e
-                else:
-                    t += 1
-            out.append(spans)
+        _, trans, start = self.tables()
+        em = self.fast_emissions(codes)
+        # what a path can gain at most by a tag at t: its margin, the way into it and the way out of it
+        into = max(float((trans[:, 1:] - trans[0, 0]).max()), float((start[1:] - start[0]).max()), 0.0)
+        back = max(float((trans[1:, 0] - trans[0, 0]).max()), 0.0)
+        gain = em[:, 1:].max(1) - em[:, 0]
+        gain[np.arange(len(gain))[:, None] >= lengths] = -np.inf
+        open_ = np.flatnonzero(gain.max(0) + into + back > 0)
+        out: list[list[tuple[int, int, str, float]]] = [[] for _ in range(len(codes))]
+        if len(open_):
+            some = np.ascontiguousarray(em[:, :, open_].transpose(2, 0, 1))
+            for i, spans in zip(open_, _viterbi(some, lengths[open_], trans, start)):
+                out[i] = spans
         return out
 
 
+def _viterbi(em: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: np.ndarray) -> list[list[tuple[int, int, str, float]]]:
+    n, steps, k = em.shape
+    score, back = start + em[:, 0], np.zeros((n, steps, k), np.int8)
+    for t in range(1, steps):
+        a = score[:, :, None] + trans
+        best = a.argmax(1)
+        live = (t < lengths)[:, None]
+        back[:, t] = np.where(live, best, np.arange(k))
+        score = np.where(live, np.take_along_axis(a, best[:, None], 1)[:, 0] + em[:, t], score)
+    tag, path = score.argmax(1), np.zeros((n, steps), np.int64)
+    for t in range(steps - 1, -1, -1):
+        path[:, t] = tag
+        tag = back[np.arange(n), t, tag] if t else tag
+    out = []
+    for i in range(n):
+        spans, row, t = [], path[i], 0
+        marked = np.flatnonzero(row[: lengths[i]])
+        while len(marked):
+            t = e = int(marked[0])
+            e += 1
+            while e < lengths[i] and row[e] and TAGS[row[e]][0] == "I":
+                e += 1
+            at = np.arange(t, e)
+            spans.append((t, e, TAGS[row[t]][2:], float(np.mean(em[i, at, row[t:e]] - em[i, at, 0]))))
+            marked = marked[marked >= e]
+        out.append(spans)
+    return out
+
+
 # --- labelled spans -----------------------------------------------------------------------------------------------
 
 # Syllables of the invented filler prose.
@@ -241,7 +311,7 @@ def _group(s: str, size: int, sep: str) -> str:
 def _entity(r: random.Random) -> tuple[str, str]:
     num = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     name = lambda: "".join(r.choice("abcdefghiklmnoprst") for _ in range(r.randint(3, 8)))
-    kind = r.choice(KINDS)
+    kind = r.choice(("email", *KINDS))  # the kind with most notations comes more often
     if kind == "email":
         local, host, top = name() + r.choice(["", "." + num(2), "." + name(), "_" + name()]), name() + r.choice(["", num(1)]), r.choice(["com", "org", "net", "example.com", "de", "fr"])
         at, dot = r.choice([("@", "."), ("@", "."), (" @ ", "."), (" @ ", " . "), (" [at] ", "."), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("[at]", "[dot]"), ("(at)", ".")])
@@ -261,77 +331,127 @@ def _decoy(r: random.Random) -> str:
     return r.choice([f"{r.randint(1, 30)}.", f"{r.randint(1, 9)}.{r.randint(0, 9)}.", f"{r.randint(1, 9)}.{r.randint(0, 9)}.{r.randint(0, 9)}", f"{r.randint(1900, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{r.randint(1, 28)}/{r.randint(1, 12)}/{r.randint(1990, 2030)}", f"{r.randint(10, 23)}:{num(2)}:{num(2)}", "AKIA" + num(3) + "XQ" + num(2) + "ZKD", f"password={hexa(18)}", f'"{hexa(40)}"', num(r.randint(1, 8)), f"{num(2)},{num(3)},{num(3)}", f"{num(3)}.{num(2)}", f"@{_word(r)}", f"x{num(5)}", f"({num(2)})", f"{num(20)}", f"{num(3)} {num(2)} {num(1)}", f"[{num(1)}]", f"#{num(4)}"])
 
 
-def labelled_windows(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """n windows of invented prose with spans of known kind and place, and look-alikes that are none."""
-    r, codes, tags = random.Random(seed), np.zeros((n, WIDTH), np.int64), np.zeros((n, WIDTH), np.int64)
-    for i in range(n):
-        text, marks = "", []
-        while len(text) < WIDTH + 8:
-            x = r.random()
-            if x < 0.12:
+def shapes(text: str) -> list[Span]:
+    """The spans that look like one of the kinds by the base patterns, whatever their numbers' sums and sizes."""
+    found = [x for x in base_spans(text) if x[2] in ("email", "phone")]
+    found += [(*m.span(), "ip") for m in _IP.finditer(text)]
+    found += [(*m.span(), "card") for m in _CARD.finditer(text) if 13 <= len(_DIGIT.findall(m[0])) <= 19]
+    return found
+
+
+def _prose(r: random.Random, carriers: list[str]) -> str:
+    """Some prose: a stretch of a carrier text, else invented."""
+    if carriers and r.random() < 0.85:
+        t = r.choice(carriers)
+        at = r.randint(0, max(0, len(t) - 40))
+        return t[at : at + r.randint(8, 60)]
+    return "".join((_decoy(r) if r.random() < 0.15 else _word(r)) + r.choice([" ", " ", " ", "\n"]) for _ in range(r.randint(1, 6)))
+
+
+def labelled_text(r: random.Random, carriers: list[str], least: int, dense: float = 0.6) -> tuple[str, list[Span]]:
+    """A text of `least` characters or more, and its spans: prose with spans and look-alikes put in."""
+    text, marks = "", []
+    while len(text) < least:
+        lo = len(text)
+        text += _prose(r, carriers)
+        marks += [(lo + a, lo + b, k) for a, b, k in shapes(text[lo:])]
+        if r.random() < dense:
+            text += r.choice([" ", " ", " ", " (", ": ", ", "])
+            if r.random() < 0.65:
                 kind, s = _entity(r)
                 marks.append((len(text), len(text) + len(s), kind))
-                text += s + r.choice([" ", " ", ", ", ". "])
+                text += s
             else:
-                text += (_decoy(r) if x < 0.22 else _word(r)) + r.choice([" ", " ", " ", "\n"])
-        shift = r.randint(0, 8)
-        codes[i] = char_codes(text[shift : shift + WIDTH])
+                text += _decoy(r)
+            text += r.choice([" ", " ", ", ", ". ", ") ", "\n"])
+        else:
+            text += " "
+    return text, marks
+
+
+def labelled_windows(n: int, seed: int = 11, carriers: list[str] | None = None, width: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """n windows of prose with spans of known kind and place, and look-alikes that are none."""
+    r, codes, tags = random.Random(seed), np.zeros((n, width), np.int64), np.zeros((n, width), np.int64)
+    for i in range(n):
+        text, marks = labelled_text(r, carriers or [], width + 16, r.choice([0.25, 0.7, 0.9]))
+        shift = r.randint(0, 16)
+        codes[i] = char_codes(text[shift : shift + width])
         for a, b, kind in marks:
             a, b = a - shift, b - shift
-            if 0 <= a and b <= WIDTH:
+            if 0 <= a and b <= width:
                 tags[i, a], tags[i, a + 1 : b] = TAGS.index(f"B-{kind}"), TAGS.index(f"I-{kind}")
-            elif a < WIDTH and b > 0:  # cut off at the edge: unlabelled, so blank it
+            elif a < width and b > 0:  # cut off at the edge: unlabelled, so blank it
                 codes[i, max(0, a) : b] = 1
         if r.random() < 0.25:  # the end of a text
-            n = r.randint(12, WIDTH)
-            while n < WIDTH and tags[i, n] and TAGS[tags[i, n]][0] == "I":
-                n += 1
-            codes[i, n:], tags[i, n:] = 0, 0
+            end = r.randint(12, width)
+            while end < width and tags[i, end] and TAGS[tags[i, end]][0] == "I":
+                end += 1
+            codes[i, end:], tags[i, end:] = 0, 0
     return codes, tags
 
 
 @functools.lru_cache(maxsize=4)
-def trained_tagger(windows: int = 3000, epochs: int = 10, seed: int = 11) -> Tagger:
+def trained_tagger(windows: int = 5000, epochs: int = 10, seed: int = 11, carriers: tuple[str, ...] = ()) -> Tagger:
     """The tagger, fitted on `windows` labelled windows (the bound of its training sample)."""
     tagger = Tagger()
-    tagger.fit(*labelled_windows(windows, seed), epochs)
+    tagger.fit(*labelled_windows(windows, seed, list(carriers)), epochs)
     return tagger
 
 
+def carriers_of(rows: DataFrame, most: int = 600, chars: int = 400) -> tuple[str, ...]:
+    """Prose of the table for the training windows: of the `most` rows with the smallest hash of id and text, `chars`
+    characters from a place that the hash gives."""
+    h = F.xxhash64("doc_id", F.xxhash64("text"))
+    place = F.pmod(h, F.greatest(F.length("text") - chars, F.lit(1))).cast("int") + 1
+    some = rows.where("length(text) > 0").select(h.alias("h"), F.substring("text", place, F.lit(chars)).alias("t"))
+    return tuple(r["t"] for r in some.orderBy("h", "t").limit(most).collect())
+
+
 def _valid(kind: str, s: str) -> bool:
-    """What a decoded span must hold to be personal data of its kind, whatever the notation."""
-    digits = "".join(_DIGIT.findall(s))
-    if kind == "email":
-        return bool(re.fullmatch(r"[A-Za-z0-9][\w.%+-]*(?:\s?@\s?|\s?[\[({]\s?at\s?[\])}]\s?)[A-Za-z0-9-]+(?:(?:\s?\.\s?|\s?[\[({]\s?dot\s?[\])}]\s?)[A-Za-z0-9-]+)+", s, re.I | re.A))
+    """The exact check of what a character model cannot count: Luhn and lengths of numbers, sizes of an address's parts."""
+    digits = _DIGIT.findall(s)
     if kind == "ip":
-        return bool(re.fullmatch(r"[0-9]{1,3}(?:\s?\[?\.\]?\s?[0-9]{1,3}){3}", s)) and all(int(x) <= 255 for x in re.findall("[0-9]+", s))
+        parts = re.findall("[0-9]+", s)
+        return len(parts) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in parts)
     if kind == "card":
-        return 13 <= len(digits) <= 19 and luhn(digits) and not re.search(r"[A-Za-z]", s)
-    return 10 <= len(digits) <= 15 and bool(re.fullmatch(r"\+?[(]?[0-9][0-9().\-/ ]*[0-9]", s)) and bool(re.search(r"[().\-/ ]", s)) and not re.search("[0-9]{9}", s)
-
-
-def model_spans(text: str, tagger: Tagger, margin: float = 0.0, batch: int = 256) -> list[tuple[int, int, str, float]]:
-    """Spans that the tagger finds in the whole text, reconciled over all of its windows."""
-    starts: list[int] = []
-    for m in _TRIGGER.finditer(text):
-        k = m.start() // STEP
-        for s in ((k - 1) * STEP, k * STEP):
-            if s >= 0 and (not starts or s > starts[-1]):
-                starts.append(s)
-    found: dict[tuple[int, int, str], float] = {}
-    for lo in range(0, len(starts), batch):
-        part = starts[lo : lo + batch]
-        lengths = np.array([min(WIDTH, len(text) - s) for s in part])
-        codes = np.zeros((len(part), WIDTH), np.int64)
-        for i, (s, n) in enumerate(zip(part, lengths)):
-            codes[i, :n] = char_codes(text[s : s + n])
-        for s, n, spans in zip(part, lengths, tagger.decode(codes, lengths)):
-            for a, b, kind, score in spans:
-                # a span at an inner edge may be cut off; the neighbouring window holds it whole
-                if (a > 0 or s == 0) and (b < n or s + n == len(text)) and score >= margin and _valid(kind, text[s + a : s + b]):
-                    key = (s + a, s + b, kind)
-                    found[key] = max(score, found.get(key, score))
-    return heaviest(sorted((a, b, k, v) for (a, b, k), v in found.items()))
+        return 13 <= len(digits) <= 19 and luhn("".join(digits))
+    return kind == "email" or 9 <= len(digits) <= 15
+
+
+def _decoded(parts: list[tuple[int, int, int]], texts: list[str], tagger: Tagger) -> Iterator[tuple[int, int, int, str, float, bool]]:
+    """(text, start, end, kind, score, whole) of the spans in windows (text, start, end) of one width or less."""
+    width = max(e - s for _, s, e in parts)
+    lengths = np.array([e - s for _, s, e in parts])
+    codes = np.zeros((len(parts), width), np.int64)
+    for i, (k, s, e) in enumerate(parts):
+        codes[i, : e - s] = char_codes(texts[k][s:e])
+    for (k, s, e), spans in zip(parts, tagger.decode(codes, lengths)):
+        for a, b, kind, score in spans:
+            yield k, s + a, s + b, kind, score, (a > 0 or s == 0) and (s + b < e or e == len(texts[k]))
+
+
+def model_spans(texts: list[str], tagger: Tagger, margin: float = MARGIN) -> list[list[tuple[int, int, str, float]]]:
+    """The spans that the tagger finds in each whole text, reconciled over all of its windows."""
+    found: list[dict[tuple[int, int, str], float]] = [{} for _ in texts]
+    cut: list[tuple[int, int, int]] = []
+    windows = [(k, s, min(len(t), s + WIDTH)) for k, t in enumerate(texts) for s in range(0, max(1, len(t) - WIDTH + STEP), STEP) if t]
+
+    def take(parts: list[tuple[int, int, int]]) -> None:
+        for k, a, b, kind, score, whole in _decoded(parts, texts, tagger):
+            if not whole:
+                cut.append((k, a, b))
+            elif score >= margin and _valid(kind, texts[k][a:b]):
+                found[k][a, b, kind] = max(score, found[k].get((a, b, kind), score))
+
+    for lo in range(0, len(windows), AT_ONCE):
+        take(windows[lo : lo + AT_ONCE])
+    width = 2 * WIDTH
+    while cut and width <= WIDEST:  # a wider window around each span that an edge may have cut off
+        again, cut = sorted({(k, max(0, (a + b - width) // 2), min(len(texts[k]), (a + b + width) // 2)) for k, a, b in cut}), []
+        for lo in range(0, len(again), AT_ONCE // 4):
+            take(again[lo : lo + AT_ONCE // 4])
+        width *= 2
+    return [heaviest(sorted((a, b, kind, v) for (a, b, kind), v in f.items())) for f in found]
 
 
 def heaviest(spans: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
@@ -356,32 +476,34 @@ def heaviest(spans: list[tuple[int, int, str, float]]) -> list[tuple[int, int, s
     return out[::-1]
 
 
-def all_spans(text: str, tagger: Tagger) -> tuple[list[Span], list[Span]]:
-    """Base spans, and those the tagger adds: none of them overlaps a base span. Both by kind, then start."""
-    base = base_spans(text)
-    if not _TRIGGER.search(text):
-        return base, []
-    taken = sorted((a, b) for a, b, _ in base)
-    added = [(a, b, k) for a, b, k, _ in model_spans(text, tagger) if not any(x < b and a < y for x, y in taken)]
-    return base, sorted(added, key=lambda x: (KINDS.index(x[2]), x[0]))
+def all_spans(texts: list[str], tagger: Tagger, margin: float = MARGIN) -> list[tuple[list[Span], list[Span]]]:
+    """Of each text the base spans, and those the tagger adds: none of them overlaps a base span. Both by kind, then
+    start."""
+    out = []
+    for text, spans in zip(texts, model_spans(texts, tagger, margin)):
+        base = base_spans(text)
+        taken = sorted((a, b) for a, b, _ in base)
+        added = [(a, b, k) for a, b, k, _ in spans if not any(x < b and a < y for x, y in taken)]
+        out.append((base, sorted(added, key=lambda x: (KINDS.index(x[2]), x[0]))))
+    return out
 
 
-def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", windows: int = 3000) -> DataFrame:
+def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", windows: int = 5000, carriers: int = 600, margin: float = MARGIN) -> DataFrame:
     """doc_id, spans array<struct<start, end, kind, added>> of each row; offsets in code points, end exclusive.
 
-    The tagger (some 30 KB of weights, whatever the data) goes to the executors as a broadcast."""
+    The tagger is trained on `windows` windows over prose of `carriers` rows, and goes to the executors as a broadcast
+    (some 30 KB of weights, whatever the data)."""
     spark = df.sparkSession
     small_batches(spark)
-    weights = spark.sparkContext.broadcast(trained_tagger(windows))
     rows = plain(df, ("doc_id", id_col), ("text", text_col))
+    weights = spark.sparkContext.broadcast(trained_tagger(windows, carriers=carriers_of(rows, carriers) if carriers else ()))
     kind = rows.schema["doc_id"].dataType.simpleString()
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("added", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t in texts_of(b):
-                base, added = all_spans(t, weights.value)
+            for base, added in all_spans(texts_of(b), weights.value, margin):
                 out.append([{"start": s, "end": e, "kind": k, "added": new} for new, part in ((False, base), (True, added)) for s, e, k in part])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.list_(span))], ["doc_id", "spans"])
 

@@ -33,10 +33,10 @@ def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
             spans = b.column("spans").to_pylist()
             base = [[s for s in x if not s["added"]] for x in spans]
             counts = [pa.array([sum(s["kind"] == k for s in x) for x in base], pa.int64()) for k in pii.KINDS]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts, pa.array([pii.sha256_hex(pii.digest(x)) for x in base]), pa.array([pii.digest(x) for x in spans]), pa.array([len(x) - len(y) for x, y in zip(spans, base)], pa.int64())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts, pa.array([pii.sha256_hex(pii.digest(x)) for x in base]), pa.array([pii.digest(x) for x in spans]), pa.array([len(x) - len(y) for x, y in zip(spans, base)], pa.int64()), pa.array([len(x) for x in spans], pa.int64())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_spans"])
 
     kind = found.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return found.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
 
 
 def op3_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
