@@ -5,7 +5,7 @@ conjunctive rule. A logistic model with an L1 penalty (lasso) over the rules lea
 rules and weights are compiled into one Spark column expression, so scoring is a projection.
 
 Defined cases: null and empty texts have all counts 0 and get a score like any other; rows without a label, or with a
-null one, only get scores; repeated rows each count and get a row; ties in a statistic fall on the same side of a
+null one, only get scores; of several labels of one id the more frequent counts, on a tie none; repeated rows each count and get a row; ties in a statistic fall on the same side of a
 threshold; with no labelled rows, or rows of one class only, the score is the (smoothed) share of label 1; extra
 columns are ignored. Labels, lang, source and doc_id are no inputs of a score.
 """
@@ -114,12 +114,12 @@ def lasso_logistic(a: np.ndarray, y: np.ndarray, penalty: float, steps: int = 25
     return float(w[0]), w[1:]
 
 
-def fit_rules(x: dict[str, np.ndarray], y: np.ndarray, trees: int = 30, depth: int = 3, penalty: float = 0.0015, most: int = 250) -> RuleModel:
+def fit_rules(x: dict[str, np.ndarray], y: np.ndarray, trees: int = 30, depth: int = 3, penalty: float = 0.0015) -> RuleModel:
     """Fit the ensemble on statistics x and labels y (0 or 1)."""
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
         return RuleModel(float(np.log(share / (1 - share))), ())
-    rules = grow_rules(x, y.astype(float), trees, depth)[:most]
+    rules = grow_rules(x, y.astype(float), trees, depth)
     if not rules:
         return RuleModel(float(np.log(y.mean() / (1 - y.mean()))), ())
     b, w = lasso_logistic(np.column_stack([held(r, x) for r in rules]).astype(float), y.astype(float), penalty)
@@ -135,7 +135,8 @@ def score_quality(df: DataFrame, labels: DataFrame, threshold: float = 0.7, max_
     the smallest hash of doc_id among the rows that aren't held out."""
     f = features()
     stats = stored(with_counts(df, id_col, text_col).select("doc_id", *[c.alias(k) for k, c in f.items()]), "statistics")
-    marks = labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("y")).where(~held_out() & F.col("y").isin(0, 1)).dropDuplicates(["doc_id"])
+    marks = labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("y")).where(~held_out() & F.col("y").isin(0, 1))
+    marks = marks.groupBy("doc_id").agg(F.avg("y").alias("y")).where("y <> 0.5").withColumn("y", F.round("y").cast("int"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     train = stats.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", *f).limit(max_rows).toPandas()
     names = list(f)

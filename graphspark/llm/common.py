@@ -17,9 +17,12 @@ __all__ = ["BATCH_ROWS", "BROADCAST_ROWS", "mix64", "plain", "scratch_root", "si
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches of this session, and see that executors have the package."""
+    """Bound the Arrow batches of this session, and see that executors have the package. A smaller bound of the
+    session's own stays. Batches are cut when a plan runs, so the bound cannot be taken back when it is built."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if now <= 0 or now > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def mix64(h: np.ndarray, mult: int = 0xBF58476D1CE4E5B9) -> np.ndarray:

@@ -4,11 +4,13 @@ Each source has a weight; the weights share a budget of words, and what a source
 times its size) is shared anew among the others. Over the training run, from position 0 to 1, a source's weight moves
 linearly from `first` to `last` times its mean; integrated, that is the cumulative demand for the source's words. The
 source's copies of documents, laid end to end in an order by hash, are put where the demand reaches them: the
-inverse of the integral (a quadratic) gives each copy its position, and rows are range-sorted by it.
+inverse of the integral (a quadratic) at the exact running sum of words before a copy gives its position, and rows are
+range-sorted by it.
 
 Whole documents are taken. With a target of r times the source's size, each document is taken floor(r) times, and once
 more while the running sum of sizes in the order by hash is within the rest. Running sums over a source of any size
-are made in two levels, within ranges of the hash and over the ranges' totals, so no task gets a whole source.
+are made in three levels: within ranges of the hash, over the ranges of a block and over the blocks' totals, so no task
+gets a whole source (a source of 5e10 documents has 5e4 blocks of 2,000 ranges of 500 rows).
 
 Defined cases: a null or empty text has size 0 and is taken floor(r) times with 0 words; a null source is a source of
 its own, ordered last; repeated rows and equal hashes follow in order of id and size and each count; a corpus without
@@ -17,30 +19,26 @@ words, or an empty table, takes nothing; extra columns are kept by mix() and ign
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphspark.llm.common import plain, size_checked, small_batches, stored
+from graphspark.llm.common import plain, size_checked, stored
+from graphspark.operators.read import chunks
 
-#: A range of hashes holds about this many rows of a source.
-RANGE_ROWS = 2000
+#: A range of hashes holds about this many rows of a table, a block this many ranges.
+RANGE_ROWS, BLOCK_RANGES = 500, 2000
+#: Up to so many sources are shared out on the driver (a name and a size each), more by jobs.
+DRIVER_SOURCES = 10_000
 
 
-def _sized(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """doc_id, source and size (number of maximal runs of characters other than U+0009-U+000D and U+0020)."""
-    small_batches(df.sparkSession)
-    rows = plain(df, ("doc_id", id_col), ("source", source_col), ("text", text_col)).withColumn("source", F.col("source").cast("string"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+def _size(text: Column) -> Column:
+    """The number of maximal runs of characters other than U+0009-U+000D and U+0020."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = [len(t.split()) if t else 0 for t in b.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(n, pa.int64())], ["doc_id", "source", "size"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, source string, size long")
+def _place(id_: str, text: str) -> Column:
+    """h: a hash of id and text, so rows without an id, or of one, spread too."""
+    return F.xxhash64(F.col(id_), F.col(text), F.lit("mix")).alias("h")
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...], share: float, most: float) -> dict[str | None, float]:
@@ -61,53 +59,75 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...], share
     return out
 
 
+def _shared(per: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+    """source, n, place (in the order of sources) and target of sources (source, n), by jobs: targets() for any number
+    of sources."""
+    named = per.withColumn("id", F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source")))
+    rows = chunks(named, 1).select("source", "n", F.col("sequence").alias("place"))
+    rows = stored(rows.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))), "sources")
+    rate = 0.0
+    while True:
+        full = F.col("weight") * F.lit(rate) > most * F.col("n")  # the rate only grows, so what is full stays full
+        r = rows.agg(F.sum("n").alias("all"), F.sum(F.when(full, F.col("n")).otherwise(0)).alias("full"), F.sum(F.when(full, 0).otherwise(F.col("weight"))).alias("w")).first()
+        new = (share * (r["all"] or 0) - most * (r["full"] or 0)) / r["w"] if r["w"] else rate
+        if new <= rate * (1 + 1e-15):
+            target = F.when(full, most * F.col("n")).otherwise(F.col("weight") * F.lit(rate))
+            return rows.select("source", "n", "place", target.alias("target"))
+        rate = new
+
+
 def _source_table(sized: DataFrame, weights: tuple[int, ...], share: float, most: float, slopes: tuple[float, ...]) -> DataFrame:
-    """key, source_size, target, slope, and the target as whole rounds and words of a further one (more). The names and sizes of the sources go through the driver: one row for
-    each source, up to 100,000 of them; no documents."""
-    spark = sized.sparkSession
-    per = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(100_001).collect()
-    if len(per) > 100_000:
-        raise ValueError("more than 100,000 sources")
-    goal = targets([(r["source"], r["n"]) for r in per], weights, share, most)
-    size, rows = {r["source"]: r["n"] for r in per}, []
-    for i, s in enumerate(goal):
-        whole = int(goal[s] / size[s] + 1e-12) if size[s] else 0
-        rows.append((s, size[s], float(goal[s]), float(slopes[i % len(slopes)]), whole, float(max(0.0, goal[s] - whole * size[s]))))
-    table = spark.createDataFrame(rows, "source string, source_size long, target double, slope double, whole int, more double")
-    return table.withColumn("key", F.to_json(F.struct("source"))).drop("source")
+    """key, source_size, target, slope, and the target as whole rounds and words of a further one (more)."""
+    per = stored(sized.groupBy("source").agg(F.sum("size").alias("n")), "sources")
+    names = per.limit(DRIVER_SOURCES + 1).collect()
+    if len(names) <= DRIVER_SOURCES:
+        goal, size = targets([(r["source"], r["n"]) for r in names], weights, share, most), {r["source"]: r["n"] for r in names}
+        rows = [(s, size[s], i, float(goal[s])) for i, s in enumerate(goal)]
+        table = sized.sparkSession.createDataFrame(rows, "source string, n long, place long, target double")
+    else:
+        table = _shared(per, weights, share, most)
+    slope = F.element_at(F.array(*[F.lit(float(x)) for x in slopes]), (F.col("place") % len(slopes) + 1).cast("int"))
+    whole = F.when(F.col("n") > 0, F.floor(F.col("target") / F.col("n") + 1e-12)).otherwise(0).cast("int")
+    out = table.select(F.to_json(F.struct("source")).alias("key"), F.col("n").alias("source_size"), "target", slope.alias("slope"), whole.alias("whole"))
+    return out.withColumn("more", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
 
 
 def _ordered(rows: DataFrame, ranges: int) -> DataFrame:
-    """rows with key (their source, never null), their place h in the order by hash, id as a string, and range."""
-    h = F.xxhash64("doc_id", F.lit("mix"))
+    """rows (with their place h in the order by hash) with key (their source, never null), id as a string, and range."""
+    rows = rows.withColumn("key", F.to_json(F.struct("source")))
     u = (F.col("h") / F.lit(2.0**64) + 0.5) * ranges
-    rows = rows.withColumn("key", F.to_json(F.struct("source"))).withColumn("h", h).withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return rows.withColumn("range", F.least(F.floor(u), F.lit(ranges - 1)).cast("long")).withColumn("part", u - F.col("range"))
+    rows = rows.withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return rows.withColumn("range", F.least(F.floor(u), F.lit(ranges - 1)).cast("long"))
 
 
-def _prepared(df: DataFrame, weights: tuple[int, ...], share: float, most: float, slopes: tuple[float, ...], id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """The sizes by row, a row for each source, one for each range of a source, and the number of ranges."""
-    sized = stored(_sized(df, id_col, text_col, source_col), "sizes")
+def _ranges(df: DataFrame, weights: tuple[int, ...], share: float, most: float, slopes: tuple[float, ...], id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame, int]:
+    """The sizes by row; for each range of a source the words before it, with what is known of the source; and the
+    number of ranges."""
+    named = plain(df, ("doc_id", id_col), ("source", source_col), ("text", text_col))
+    sized = stored(named.select("doc_id", F.col("source").cast("string").alias("source"), _size(F.col("text")).alias("size"), _place("doc_id", "text")), "sizes")
     goals = _source_table(sized, weights, share, most, slopes)
     ranges = max(1, sized.count() // RANGE_ROWS)
-    rows = _ordered(sized, ranges)
-    totals = stored(rows.groupBy("key", "range").agg(F.sum("size").alias("total")), "totals")
-    before = stored(totals.withColumn("before", F.sum("total").over(Window.partitionBy("key").orderBy("range")) - F.col("total")), "ranges")
-    within = Window.partitionBy("key", "range").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    start = rows.where("size > 0").join(size_checked(before), ["key", "range"]).withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    # the first row of each source that gets no further copy; all rows before it get one
-    stop = start.join(F.broadcast(goals), "key").where("start + size / 2 > more").groupBy("key").agg(F.min(F.struct("h", "id")).alias("stop"))
-    return sized, stored(goals.join(stop, "key", "left"), "goals"), before, ranges
-
-
-def _with_copies(rows: DataFrame, goals: DataFrame, before: DataFrame, ranges: int) -> DataFrame:
-    """rows (with doc_id, source and whether they have words) with copies and positions."""
-    rows = _ordered(rows, ranges).join(F.broadcast(goals), "key", "left").join(size_checked(before), ["key", "range"], "left")
-    further = F.col("stop").isNull() | (F.struct("h", "id") < F.col("stop"))
-    rows = rows.withColumn("copies", (F.col("whole") + (further & (F.col("more") > 0) & F.col("has_words")).cast("int")).cast("int"))
+    totals = _ordered(sized, ranges).groupBy("key", "range").agg(F.sum("size").alias("total"))
+    totals = stored(totals.withColumn("block", F.floor(F.col("range") / BLOCK_RANGES)), "totals")
+    so_far = lambda of, by: F.sum(of).over(by) - F.col(of)
+    blocks = totals.groupBy("key", "block").agg(F.sum("total").alias("sum"))
+    blocks = blocks.select("key", "block", so_far("sum", Window.partitionBy("key").orderBy("block")).alias("earlier"))
+    inner = so_far("total", Window.partitionBy("key", "block").orderBy("range"))
+    before = totals.withColumn("inner", inner).join(size_checked(stored(blocks, "blocks")), ["key", "block"])
+    before = before.select("key", "range", (F.col("earlier") + F.col("inner")).alias("before")).join(size_checked(goals), "key")
+    return sized, stored(before, "ranges"), ranges
+
+
+def _with_copies(rows: DataFrame, before: DataFrame, ranges: int) -> DataFrame:
+    """rows (with doc_id, source and size) with copies and positions."""
+    rows = _ordered(rows, ranges).join(size_checked(before), ["key", "range"])
+    earlier = Window.partitionBy("key", "range").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(earlier), F.lit(0)))
+    # the running sum's middle grows from row to row, so the rows with a further copy are the first ones
+    further = (F.col("size") > 0) & (F.col("start") + F.col("size") / 2 <= F.col("more"))
+    rows = rows.withColumn("copies", (F.col("whole") + further.cast("int")).cast("int"))
     # copy c starts where c rounds over the source and the words before the row are done
-    done = F.col("before") + F.col("total") * F.col("part")
-    due = lambda c: F.least(F.lit(1.0), (c * F.col("source_size") + done) / F.greatest(F.col("target"), F.lit(1.0)))
+    due = lambda c: F.least(F.lit(1.0), (c * F.col("source_size") + F.col("start")) / F.greatest(F.col("target"), F.lit(1.0)))
     # the root t of slope * t + (2 - 2 * slope) * t^2 / 2 = due
     a, b = F.col("slope"), 2 - 2 * F.col("slope")
     at = lambda c: F.when(b == 0, due(c)).otherwise((F.sqrt(a * a + 2 * b * due(c)) - a) / b)
@@ -115,20 +135,21 @@ def _with_copies(rows: DataFrame, goals: DataFrame, before: DataFrame, ranges: i
 
 
 def plan(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, slopes: tuple[float, ...] = (0.5, 1.0, 1.5), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken and positions (one for each copy) of each row.
+    """doc_id, source, size, source_size, target, copies, taken, start (words of the source before the row) and positions
+    (one for each copy) of each row.
 
     slopes: a source's weight at the start as a multiple of its mean, by turns like the weights; in (0, 2)."""
-    sized, goals, before, ranges = _prepared(df, weights, share, most, slopes, id_col, text_col, source_col)
-    rows = _with_copies(sized.withColumn("has_words", F.col("size") > 0), goals, before, ranges)
-    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "positions")
+    sized, before, ranges = _ranges(df, weights, share, most, slopes, id_col, text_col, source_col)
+    rows = _with_copies(sized, before, ranges)
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "start", "positions")
 
 
 def mix(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, slopes: tuple[float, ...] = (0.5, 1.0, 1.5), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The training set: a row of df for each copy taken, range-sorted by position; same columns as df. Texts are
-    shuffled once, for the sort."""
+    shuffled twice: to their range, where the running sum is made, and for the sort."""
     spark = df.sparkSession
-    _, goals, before, ranges = _prepared(df, weights, share, most, slopes, id_col, text_col, source_col)
-    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.coalesce(F.col(f"`{text_col}`").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)).alias("has_words"))
-    taken = _with_copies(packed, goals, before, ranges).select("row", "id", F.explode("positions").alias("at"))
+    _, before, ranges = _ranges(df, weights, share, most, slopes, id_col, text_col, source_col)
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), _size(F.col(f"`{text_col}`")).alias("size"), _place(f"`{id_col}`", f"`{text_col}`"))
+    taken = _with_copies(packed, before, ranges).select("row", "id", F.explode("positions").alias("at"))
     many = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return taken.repartitionByRange(many, "at", "id").sortWithinPartitions("at", "id").select("row.*")

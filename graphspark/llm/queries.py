@@ -13,6 +13,8 @@ from graphspark.llm import classifier, decontam, html_text, jaccard, mixing, pii
 #: Shards and slots of the sharding query.
 SHARDS, SLOTS = sharding.shard_names(64), 10_007
 VOCABULARY = "byte_bpe_50k.json"
+#: Words of a repeated passage that begins or ends inside a line: cut at sentences, over 50 words leave 25 at least.
+PASSAGE_WORDS = 25
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,9 +64,9 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = unit_dedup.dedup(_table(spark, sf_dir, "documents"), kind="sentence", min_words=25)
+    done = unit_dedup.dedup(_table(spark, sf_dir, "documents"), passages=PASSAGE_WORDS)
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return done.select("doc_id", "text", "changed", "n_units", F.size("removed").alias("n_removed"), joined("removed").alias("removed"), joined("kept").alias("kept"))
+    return done.select("doc_id", "text", "changed", "n_units", F.size("removed").alias("n_removed"), joined("removed").alias("removed"), joined("kept").alias("kept"), (F.col("longest") >= PASSAGE_WORDS).alias("passage"))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

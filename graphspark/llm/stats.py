@@ -83,18 +83,35 @@ def with_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     return rows.mapInArrow(run, ", ".join([*(f"`{k}` {t}" for k, t in kinds), *(f"{c} long" for c in COUNTS)]))
 
 
-def features() -> dict[str, Column]:
-    """Scale-free statistics; each is shrunk towards a usual value, so that short texts don't look odd."""
-    c = {k: F.col(k).cast("double") for k in COUNTS}
-    words = c["n_words"]
-    rate = lambda k, usual, weight, base=words: (c[k] + F.lit(usual * weight)) / (base + F.lit(float(weight)))
-    return {
-        "word_length": rate("word_chars", 5.0, 20), "symbols": F.sqrt(rate("n_symbols", 0.0, 20)), "dup_lines": F.sqrt(rate("n_dup_lines", 0.0, 4, c["n_lines"])),
-        "repeats": F.sqrt(rate("n_repeat_words", 0.0, 20)), "upper": F.sqrt(rate("n_upper", 0.07, 40)), "digits": F.sqrt(rate("n_digits", 0.0, 40)),
-        "punct": F.sqrt(rate("n_punct", 0.15, 40)), "top_word": F.sqrt(rate("n_top_word", 0.06, 60)), "short": rate("n_short", 0.35, 40),
-        "adjacent": F.sqrt(rate("n_adjacent", 0.02, 40)), "long": F.sqrt(rate("n_long", 0.05, 40)), "variety": rate("n_distinct", 0.8, 40) + F.log1p(words) * 0.06,
-        "size": F.log1p(words), "line_words": F.log((words + 40.0) / (c["n_lines"] + 4.0)),
-    }
+#: Statistics that are shrunk towards a usual value: counted, out of, with the weight of so many words, transformed.
+SHRUNK = {
+    "word_length": ("word_chars", "n_words", 20, False), "symbols": ("n_symbols", "n_words", 20, True),
+    "dup_lines": ("n_dup_lines", "n_lines", 4, True), "repeats": ("n_repeat_words", "n_words", 20, True),
+    "upper": ("n_upper", "n_words", 40, True), "digits": ("n_digits", "n_words", 40, True),
+    "punct": ("n_punct", "n_words", 40, True), "top_word": ("n_top_word", "n_words", 60, True),
+    "short": ("n_short", "n_words", 40, False), "adjacent": ("n_adjacent", "n_words", 40, True),
+    "long": ("n_long", "n_words", 40, True), "variety": ("n_distinct", "n_words", 40, False),
+}
+#: Usual values where none are measured.
+USUAL = {"word_length": 5.0, "upper": 0.07, "punct": 0.15, "top_word": 0.06, "short": 0.35, "adjacent": 0.02, "long": 0.05, "variety": 0.8}
+
+
+def features(usual: dict[str, float] = USUAL) -> dict[str, Column]:
+    """Scale-free statistics. The rate of a short text is shrunk towards a usual value (USUAL, or what usual_rates()
+    measured; 0 for others), as it is known less well; the rest stands as it is."""
+    words, out = F.col("n_words").cast("double"), {}
+    for name, (count, base, weight, root) in SHRUNK.items():
+        rate = (F.col(count) + F.lit(usual.get(name, 0.0) * weight)) / (F.col(base) + F.lit(float(weight)))
+        out[name] = F.sqrt(rate) if root else rate
+    out["variety"] = out["variety"] + F.log1p(words) * 0.06
+    return out | {"size": F.log1p(words), "line_words": F.log((words + 40.0) / (F.col("n_lines") + 4.0))}
+
+
+def usual_rates(counts: DataFrame, names: tuple[str, ...]) -> dict[str, float]:
+    """The median rate of each statistic over all rows with words: exact, of rates in steps of 1/1000."""
+    rates = {n: F.col(SHRUNK[n][0]) / F.col(SHRUNK[n][1]) for n in names}
+    row = counts.where("n_words > 0").agg(*[F.median(F.round(c, 3)).alias(n) for n, c in rates.items()]).first()
+    return {n: float(row[n] or 0.0) for n in names}
 
 
 _BRUTE = re.compile(r"[^\x20\x09-\x0D]+")

@@ -1,11 +1,13 @@
-"""Substring deduplication by hashing lines or paragraphs, cut further into their sentences.
+"""Substring deduplication by hashing lines and paragraphs.
 
-A text is cut into units: paragraphs (between blank lines), lines, or sentences of lines (the default, as repeated
-passages often stand inside a line). Units are normalised (lower case, white space as one space) and hashed to 128
-bits. Of each digest the earliest occurrence, by doc_id and then place, is kept. In each text a run of neighbouring
-units that all occurred earlier is removed if it has `min_words` words or more. A whole line or paragraph of CONTEXT
-words or more that stood as one earlier is removed whatever the length of its run. A unit of few words counts as repeated
-only together with the words that follow it, so chance repetitions of short sentences stay. What is kept is returned with its offsets in the original text (code points, end exclusive).
+A text's units are its lines and its paragraphs (between blank lines; one of a single line counts once). Units are
+normalised (lower case, white space as one space) and hashed to 128 bits. Of each digest the earliest occurrence, by
+doc_id and then place, is kept, and all later ones are removed, of any length. What is kept is returned with its offsets
+in the original text (code points, end exclusive).
+
+Lines cannot see a passage that begins or ends inside a line. With `passages`, sentences of lines are hashed, too, and in
+each text a run of neighbouring sentences that all occurred earlier is removed if it has that many words or more. A
+sentence of few words counts as repeated only together with the words that follow it, so chance repetitions stay.
 
 Digests are pre-aggregated before the shuffle: within a batch of rows only the earliest occurrence goes to the
 digest's partition, the others are known not to be the first and are dealt out evenly. So a line that a third of all
@@ -30,9 +32,9 @@ from pyspark.sql import functions as F
 from graphspark.llm.common import mix64, plain, small_batches, stored, texts_of
 
 _CUTS = {"paragraph": re.compile(r"\n[ \t]*\n\s*"), "line": re.compile(r"\n+"), "sentence": re.compile(r"\n+|(?<=[.!?])[ \t]+")}
-#: A unit of fewer words repeats by chance: it is hashed together with what follows, up to so many words.
+#: A sentence of fewer words repeats by chance: it is hashed together with what follows, up to so many words.
 CONTEXT = 8
-#: Whole lines and paragraphs are numbered from here on, behind all units.
+#: Lines and paragraphs are numbered from here on, behind all sentences.
 WHOLE = 1 << 30
 _SPACE = re.compile(r"\s*")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -64,30 +66,29 @@ def normal_units(text: str, kind: str = "sentence") -> list[str]:
 
 
 def wholes(text: str) -> list[tuple[int, int, str]]:
-    """Offsets and words of the lines and paragraphs of CONTEXT words or more, by place; a paragraph of one line is
-    there once."""
+    """Offsets and words of the lines and paragraphs, by place; a paragraph of one line is there once."""
     out = {}
     for kind in ("line", "paragraph"):
         for a, b in units(text, kind):
             part = text[a:b]
             a, b = a + len(part) - len(part.lstrip()), a + len(part.rstrip())
-            if (a, b) not in out and len(words := part.lower().split()) >= CONTEXT:
-                out[a, b] = " ".join(words)
+            if (a, b) not in out:
+                out[a, b] = " ".join(part.lower().split())
     return [(a, b, out[a, b]) for a, b in sorted(out)]
 
 
-def _digests(text: str, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The halves of the digests of units and wholes, as signed 64-bit numbers, and their numbers."""
-    raw = [xxhash.xxh3_128_digest(u) for u in normal_units(text, kind)]
+def _digests(text: str, passages: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The halves of the digests of sentences (with passages) and wholes, as signed 64-bit numbers, and their numbers."""
+    raw = [xxhash.xxh3_128_digest(u) for u in normal_units(text)] if passages else []
     whole = [xxhash.xxh3_128_digest("\n" + w) for _, _, w in wholes(text)]
     both = np.frombuffer(b"".join(raw + whole), np.int64).reshape(-1, 2)
     return both[:, 0], both[:, 1], np.concatenate([np.arange(len(raw)), WHOLE + np.arange(len(whole))]).astype(np.int32)
 
 
-def _spread(kind: str):  # noqa: ANN202
+def _spread(passages: int | None):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cut = [_digests(t, kind) for t in texts_of(b)]
+            cut = [_digests(t, passages) for t in texts_of(b)]
             count = [len(x) for x, _, _ in cut]
             if not sum(count):
                 continue
@@ -127,29 +128,25 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(u)], ["doc_id", "unit"])
 
 
-def removed_runs(text: str, later: set[int], kind: str, min_words: int) -> list[tuple[int, int]]:
-    """Offsets of the runs of repeated units with min_words words or more, and of the repeated wholes, joined where
-    they meet."""
-    out: list[tuple[int, int]] = []
+def removed_runs(text: str, later: set[int], passages: int | None) -> list[tuple[int, int]]:
+    """Offsets of the repeated wholes and of the runs of repeated sentences with `passages` words or more, joined where
+    they meet; each with the white space that follows."""
+    out = [(a, _SPACE.match(text, b).end()) for k, (a, b, _) in enumerate(wholes(text)) if WHOLE + k in later]
     run: list[tuple[int, int]] = []
-    for k, span in enumerate([*units(text, kind), (len(text), len(text))]):
+    for k, span in enumerate([*units(text), (len(text), len(text))] if passages and min(later) < WHOLE else []):
         if k in later:
             run.append(span)
         elif run:
-            if len(text[run[0][0] : run[-1][1]].split()) >= min_words:
-                out.append((run[0][0], span[0]))  # with the white space that follows
+            if len(text[run[0][0] : run[-1][1]].split()) >= passages:
+                out.append((run[0][0], span[0]))
             run = []
-    if any(k >= WHOLE for k in later):
-        # with the white space that follows
-        out += [(a, _SPACE.match(text, b).end()) for k, (a, b, _) in enumerate(wholes(text)) if WHOLE + k in later]
-        apart: list[tuple[int, int]] = []
-        for a, b in sorted(out):
-            if apart and a <= apart[-1][1]:
-                apart[-1] = (apart[-1][0], max(b, apart[-1][1]))
-            else:
-                apart.append((a, b))
-        out = apart
-    return out
+    apart: list[tuple[int, int]] = []
+    for a, b in sorted(out):
+        if apart and a <= apart[-1][1]:
+            apart[-1] = (apart[-1][0], max(b, apart[-1][1]))
+        else:
+            apart.append((a, b))
+    return apart
 
 
 def without(text: str, removed: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
@@ -162,46 +159,45 @@ def without(text: str, removed: list[tuple[int, int]]) -> tuple[str, list[tuple[
     return "".join(text[a:b] for a, b in kept), kept
 
 
-def dedup(df: DataFrame, kind: str = "sentence", min_words: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text (what is kept), changed, n_units, removed and kept (arrays of struct<start, end>) of each row.
-    Ids must be whole numbers."""
+def dedup(df: DataFrame, passages: int | None = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text (what is kept), changed, n_units (lines and paragraphs), removed and kept (arrays of struct<start,
+    end>) and longest (words of the longest stretch removed) of each row. Ids must be whole numbers."""
     spark = df.sparkSession
     small_batches(spark)
     docs = plain(df, ("doc_id", id_col), ("text", text_col)).withColumn("doc_id", F.col("doc_id").cast("long"))
     many = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seen = docs.where("doc_id is not null").mapInArrow(_spread(kind), "key long, hi long, lo long, doc_id long, unit int, later boolean")
+    seen = docs.where("doc_id is not null").mapInArrow(_spread(passages), "key long, hi long, lo long, doc_id long, unit int, later boolean")
     later = seen.repartition(many, "key").sortWithinPartitions("hi", "lo", "doc_id", "unit").mapInArrow(_later, "doc_id long, unit int")
     # a document's own units, so the set is bounded by its text
     per_doc = stored(later.groupBy("doc_id").agg(F.collect_set("unit").alias("later")), "later")
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("changed", pa.bool_()), ("n_units", pa.int32()), ("removed", span), ("kept", span), ("longest", pa.int32())])
+    pairs = lambda x: [{"start": a, "end": b} for a, b in x]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text, changed, count, gone, left = [], [], [], [], []
-            for t, again in zip(texts_of(b), b.column("later").to_pylist()):
-                runs = removed_runs(t, set(again), kind, min_words) if again else []
+            if not b.num_rows:
+                continue
+            rows = []
+            for i, t, again in zip(b.column("doc_id").to_pylist(), texts_of(b), b.column("later").to_pylist()):
+                runs = removed_runs(t, set(again), passages) if again else []
                 rest, kept = without(t, runs)
-                text.append(rest)
-                changed.append(bool(runs))
-                count.append(len(units(t, kind)))
-                gone.append([{"start": x, "end": y} for x, y in runs])
-                left.append([{"start": x, "end": y} for x, y in kept])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(text, pa.string()), pa.array(changed, pa.bool_()), pa.array(count, pa.int32()), pa.array(gone, span), pa.array(left, span)], ["doc_id", "text", "changed", "n_units", "removed", "kept"])
+                longest = max((len(t[x:y].split()) for x, y in runs), default=0)
+                rows.append((i, rest, bool(runs), len(wholes(t)), pairs(runs), pairs(kept), longest))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     spans = "array<struct<start:int,end:int>>"
     # a shuffle at every size: what is removed grows with the corpus, so it is never broadcast
-    return docs.join(per_doc.hint("merge"), "doc_id", "left").mapInArrow(cut, f"doc_id long, text string, changed boolean, n_units int, removed {spans}, kept {spans}")
+    joined = docs.join(per_doc.hint("merge"), "doc_id", "left")
+    return joined.mapInArrow(cut, f"doc_id long, text string, changed boolean, n_units int, removed {spans}, kept {spans}, longest int")
 
 
-def brute_dedup(rows: list[tuple[int, str]], kind: str = "sentence", min_words: int = 25) -> dict[int, str]:
+def brute_dedup(rows: list[tuple[int, str]], passages: int | None = 25) -> dict[int, str]:
     """The kept text of each id, by one walk over all units in order; for tests."""
     first: dict[str, tuple[int, int]] = {}
     out = {}
-    for i, t in sorted({i: t for i, t in rows if i is not None}.items()):
-        later = set()
-        named = [*enumerate(normal_units(t or "", kind)), *((WHOLE + k, "\n" + w) for k, (_, _, w) in enumerate(wholes(t or "")))]
-        for k, u in named:
-            if first.setdefault(u, (i, k)) != (i, k):
-                later.add(k)
-        out[i] = without(t or "", removed_runs(t or "", later, kind, min_words))[0]
+    for i, t in sorted({i: t or "" for i, t in rows if i is not None}.items()):
+        named = [*(enumerate(normal_units(t)) if passages else ()), *((WHOLE + k, "\n" + w) for k, (_, _, w) in enumerate(wholes(t)))]
+        later = {k for k, u in named if first.setdefault(u, (i, k)) != (i, k)}
+        out[i] = without(t, removed_runs(t, later, passages) if later else [])[0]
     return out

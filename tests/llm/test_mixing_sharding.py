@@ -4,6 +4,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from graphspark.llm import mixing, sharding
 
@@ -53,6 +54,40 @@ def test_plan(spark, monkeypatch, range_rows):
     assert all(abs(taken[s] - want[s]) <= biggest[s] for s in per)
 
 
+@pytest.mark.parametrize("few", [False, True])
+def test_plan_by_hand(spark, monkeypatch, few):
+    """Starts, copies and positions from the definition: one running sum for each source over all rows by hash."""
+    if few:  # several blocks of ranges, and sources shared out by jobs
+        for name, value in (("RANGE_ROWS", 3), ("BLOCK_RANGES", 4), ("DRIVER_SOURCES", 1)):
+            monkeypatch.setattr(mixing, name, value)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.unionByName(docs.limit(20)).unionByName(docs.where("doc_id % 9 = 0").withColumn("source", F.lit(None).cast("string")).withColumn("doc_id", F.lit(None).cast("long")))
+    rows = docs.select("doc_id", "text", "source", F.xxhash64("doc_id", "text", F.lit("mix")).alias("h")).collect()
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    per = {}
+    for r in rows:
+        per.setdefault(r.source, []).append((r.h, str(r.doc_id) if r.doc_id is not None else "", size(r.text)))
+    totals = {s: sum(n for _, _, n in x) for s, x in per.items()}
+    goal, want = brute_targets(totals), []
+    for k, s in enumerate(sorted(per, key=lambda s: (s is None, s or ""))):
+        start, whole = 0, int(goal[s] / totals[s] + 1e-12)
+        slope = (0.5, 1.0, 1.5)[k % 3]
+        for _, i, n in sorted(per[s]):
+            copies = whole + (n > 0 and start + n / 2 <= goal[s] - whole * totals[s])
+            at = []
+            for c in range(copies):
+                due, lo, hi = min(1.0, (c * totals[s] + start) / goal[s]), 0.0, 1.0
+                for _ in range(60):  # the demand grows with time: halve
+                    mid = (lo + hi) / 2
+                    lo, hi = (mid, hi) if slope * mid + (1 - slope) * mid * mid < due else (lo, mid)
+                at.append(round(lo, 6))
+            want.append((str(s), i, n, start, copies, at))
+            start += n
+    got = [(str(r.source), "" if r.doc_id is None else str(r.doc_id), r["size"], r.start, r.copies, [round(p, 6) for p in r.positions]) for r in mixing.plan(docs).collect()]
+    assert [x[:5] for x in sorted(got)] == [x[:5] for x in sorted(want)]
+    assert all(abs(a - b) < 2e-6 for x, y in zip(sorted(got), sorted(want)) for a, b in zip(x[5], y[5]))
+
+
 def test_curriculum_moves_weight(spark):
     rows = [(i, "w " * 10, "early" if i % 2 else "late") for i in range(4000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")

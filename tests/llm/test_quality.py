@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -32,7 +33,7 @@ def test_estimates_are_robust_and_near_the_plain_algorithm(spark):
     rows = [("en", "a", 100, 0, [float(x) for x in v]) for v in z]
     frame = spark.createDataFrame(rows, "lang string, source string, n_words long, n_repeat_words long, z array<double>")
     grouped = quality.grouped(frame, 100)
-    est = quality.estimates(grouped, 0.75, 4).collect()
+    est = quality.estimates(grouped, 0.75, 2).collect()
     assert len(est) == 1
     mu, inv = np.array(est[0].mu), np.array(est[0].inv).reshape(6, 6)
     assert abs(mu - 0.5).max() < 0.03
@@ -54,10 +55,30 @@ def test_fallbacks_use_all_rows_of_the_language_and_table(spark):
     row = lambda lang, source, at: (lang, source, 100, 0, [float(x) for x in r.normal(at, 0.1, 6)])
     rows = [row("en", "hot", 0.5) for _ in range(200)] + [row("en", None, 0.5) for _ in range(150)] + [row("en", f"s{i}", 3.0) for i in range(3)] + [row("fr", "x", 3.0) for _ in range(2)]
     frame = spark.createDataFrame(rows, "lang string, source string, n_words long, n_repeat_words long, z array<double>")
-    est = {e.grp: np.array(e.mu) for e in quality.estimates(quality.grouped(frame, 100), 0.75, 4).collect()}
+    est = {e.grp: np.array(e.mu) for e in quality.estimates(quality.grouped(frame, 100), 0.75, 2).collect()}
     assert len(est) == 4 and all(abs(mu - 0.5).max() < 0.05 for mu in est.values())
 
 
+def test_junk_in_a_small_source_is_judged_by_its_language(spark):
+    rows = duckdb.sql("SELECT d.text FROM '/root/testdata/sf0.01/documents.parquet' d JOIN '/root/testdata/sf0.01/labels.parquet' l USING (doc_id) WHERE quality = 1 AND lang = 'en' ORDER BY doc_id LIMIT 150").fetchall()
+    junk = " ".join(f"###{k} $$ x{k}% || <{k}> **" for k in range(8))
+    for source in ("rare", "hot"):
+        docs = spark.createDataFrame([(i, t, "en", "hot") for i, (t,) in enumerate(rows)] + [(1000 + i, f"{junk} {i}", "en", source) for i in range(3)], "doc_id long, text string, lang string, source string")
+        got = {r.doc_id: r for r in quality.judge(docs).collect()}
+        assert all(got[i].base_failed or got[i].distance > 120 and not got[i].kept for i in (1000, 1001, 1002))
+        assert not got[1000].base_failed
+        assert sum(got[i].kept or got[i].base_failed for i in range(len(rows))) == len(rows)
+
+
+def test_the_start_with_the_smallest_determinant_goes_on(spark):
+    """A group whose median start lies between two clusters: the result is the larger one."""
+    r = np.random.default_rng(5)
+    z = np.concatenate([r.normal(0.2, 0.05, (520, 6)), r.normal(2.0, 0.6, (480, 6))])
+    frame = spark.createDataFrame([("en", "a", 100, 0, [float(x) for x in v]) for v in z], "lang string, source string, n_words long, n_repeat_words long, z array<double>")
+    est = quality.estimates(quality.grouped(frame, 100), 0.5, 2).collect()
+    assert abs(np.array(est[0].mu) - 0.2).max() < 0.05
+
+
 def test_rows(spark, odd_docs, no_docs):
     got = quality.judge(odd_docs).collect()
     assert len(got) == 10
@@ -100,6 +121,25 @@ def test_rules_find_a_conjunction():
     assert {"a", "b"} <= names
 
 
+def test_no_rule_is_cut_before_the_lasso():
+    r = np.random.default_rng(4)
+    x = {n: r.random(6000) for n in "abcdefgh"}
+    y = (sum(np.sin(9 * v) for v in x.values()) > 0).astype(int)
+    assert len(classifier.grow_rules(x, y.astype(float), 40, 3)) > 250
+    seen = []
+    keep, classifier.lasso_logistic = classifier.lasso_logistic, lambda a, *rest: (seen.append(a.shape[1]), (0.0, np.zeros(a.shape[1])))[1]
+    try:
+        classifier.fit_rules(x, y, trees=40)
+    finally:
+        classifier.lasso_logistic = keep
+    assert seen[0] > 250
+
+
+def test_contradicting_labels(spark, odd_docs):
+    labels = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (6, 1, 0), (6, 1, 0), (6, 0, 0), (8, 1, 0)], "doc_id long, quality int, toxic int")
+    assert {tuple(r) for r in classifier.score_quality(odd_docs, labels).collect()} == {tuple(r) for r in classifier.score_quality(odd_docs, labels.orderBy("quality")).collect()}
+
+
 def test_one_class_and_no_labels():
     assert classifier.fit_rules({"a": np.arange(5.0)}, np.ones(5, int)).rules == ()
     assert classifier.fit_rules({"a": np.zeros(0)}, np.zeros(0, int)).score({"a": np.zeros(1)})[0] == 0.5
