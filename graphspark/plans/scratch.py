@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,13 +14,18 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 _fallback: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir. Only where that is unset (single-machine tests) a local temporary
-    folder is made."""
+    """The session's spark.checkpoint.dir. Only where that is unset and the master is local, a temporary folder is made:
+    the executors of a cluster do not see the driver's."""
     given = spark.conf.get("spark.checkpoint.dir", None)
-    return given.rstrip("/") if given else _fallback.setdefault("dir", tempfile.mkdtemp(prefix="graphspark-"))
+    if given:
+        return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _fallback.setdefault("dir", tempfile.mkdtemp(prefix="graphspark-"))
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -27,9 +34,30 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_root(df.sparkSession)}/graphspark/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    for scope in _scopes:
+        scope.append(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scoped(spark: SparkSession) -> Iterator[None]:
+    """On leaving deletes the intermediate tables that were written meanwhile; frames that read them must be done with,
+    or stored before as rows of their own outside."""
+    mine: list[str] = []
+    _scopes.append(mine)
+    try:
+        yield
+    finally:
+        _scopes.remove(mine)
+        for path in mine:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def size_checked(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count shows that it has at most `limit` rows, df itself otherwise."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
@@ -37,5 +65,4 @@ def size_checked(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def clear(spark: SparkSession) -> None:
     """Deletes all intermediate tables of the folder; frames that still read them become unusable."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/graphspark")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, f"{scratch_root(spark)}/graphspark")
