@@ -6,12 +6,13 @@ Parquet into the shared folder and rereads them for the next one. All but the la
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from graphspark.llm import decontam, jaccard, mixing, quality, sharding
-from graphspark.llm.common import stored
+from graphspark.plans.scratch import delete, scoped, scratch_root
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -50,6 +51,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the documents in sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = f"{scratch_root(spark)}/graphspark/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+        with scoped(spark):  # the stage's own intermediate tables go when its rows are written
+            rows = stage(spark, docs, sf_dir)
+            rows.write.parquet(path)
+        if before is not None:
+            delete(spark, before)
+        docs, before = spark.read.schema(rows.schema).parquet(path), path
     return docs
