@@ -66,7 +66,7 @@ def test_pruning_is_exact(tagger):
     lengths = np.random.default_rng(0).integers(20, codes.shape[1] + 1, len(codes))
     slow, _ = tagger.emissions(codes)
     _, trans, start = tagger.tables()
-    want = pii._viterbi(np.ascontiguousarray(slow.transpose(1, 2, 0)), lengths, trans, start)
+    want = pii._viterbi(np.ascontiguousarray(slow.transpose(1, 2, 0)), lengths, trans, start[:, None])
     got = tagger.decode(codes, lengths)
     assert [[x[:3] for x in w] for w in got] == [[x[:3] for x in w] for w in want] and sum(map(len, got)) > 50
 
