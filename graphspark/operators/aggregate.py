@@ -36,6 +36,14 @@ def hubs(graph: Graph, k: int = 10) -> DataFrame:
     return top.join(graph.vertices.select("id", "type", "label"), "id")
 
 
+def hub_graph(graph: Graph, k: int = 25) -> Graph:
+    """The k hubs (id, type, label, degree) and the edges with both ends among them."""
+    top = hubs(graph, k)
+    ids = top.select(F.col("id").alias("_v"))
+    near = graph.edges.join(F.broadcast(ids), F.col("source_id") == F.col("_v"), "left_semi")
+    return Graph(top, near.join(F.broadcast(ids), F.col("target_id") == F.col("_v"), "left_semi"))
+
+
 def viewer_rows(graph: Graph) -> DataFrame:
     """Vertices with their degree, 0 for lonely ones."""
     return graph.vertices.select("id", "type", "label").join(degrees(graph), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("long"))

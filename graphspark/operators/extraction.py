@@ -16,6 +16,7 @@ from graphspark.functions.props import plain
 from graphspark.functions.similarity import key_jaccard
 from graphspark.model import Vocabulary
 from graphspark.operators.vocabulary import entity_errors
+from graphspark.plans.scratch import size_checked
 
 EXAMPLES = 10
 
@@ -108,13 +109,13 @@ def duplicate_labels(entities: DataFrame, key: Column | None = None) -> DataFram
     return entities.groupBy("source", F.lower("type").alias("type"), k.alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def token_subsets(entities: DataFrame, longest: int = 64) -> DataFrame:
+def token_subsets(entities: DataFrame) -> DataFrame:
     """Pairs of labels of one source and type where one's words are a proper subset of the other's.
 
     Candidates share the subset's first word in a global order of rarity, so only labels that hold a label's rarest
-    word meet; labels of more than `longest` words aren't labels and are left out."""
+    word meet."""
     words = F.array_distinct(F.filter(F.split(F.lower("label"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    rows = entities.select("source", "type", "label").distinct().withColumn("words", words).where((F.size("words") > 0) & (F.size("words") <= longest))
+    rows = entities.select("source", "type", "label").distinct().withColumn("words", words).where(F.size("words") > 0)
     each = rows.withColumn("word", F.explode("words"))
     rarity = each.groupBy("source", "type", "word").agg(F.count(F.lit(1)).alias("df"))
     marked = each.join(rarity, ["source", "type", "word"])
@@ -145,7 +146,7 @@ def enum_checklist(entities: DataFrame, controlled: DataFrame, least: int = 4, d
     values = controlled.select("type", F.lower(F.trim("value")).alias("key")).where("key <> ''").distinct()
     n_values = values.groupBy("type").agg(F.count(F.lit(1)).alias("values"))
     per = labels.join(values.withColumn("hit", F.lit(1)), ["type", "key"], "left").groupBy("type").agg(F.count(F.lit(1)).alias("labels"), F.coalesce(F.sum("hit"), F.lit(0)).cast("long").alias("matched"))
-    both = per.join(F.broadcast(n_values), "type").where((F.col("values") >= least) & (F.col("matched") > 0))
+    both = per.join(size_checked(n_values), "type").where((F.col("values") >= least) & (F.col("matched") > 0))
     both = both.withColumn("dominance", F.col("matched") / F.col("labels")).withColumn("coverage", F.col("matched") / F.col("values")).where((F.col("dominance") >= dominance) & (F.col("coverage") >= coverage))
     return both.select("type", "labels", "values", "matched", F.round("dominance", 2).alias("dominance"), F.round("coverage", 2).alias("coverage"))
 
@@ -277,7 +278,7 @@ def enum_offenders(entities: DataFrame, vocabulary: Vocabulary, least: int = 2)
     rows = [(t.type, p.name, list(p.values)) for t in vocabulary.entity_types for p in t.properties if p.values]
     closed = entities.sparkSession.createDataFrame(rows, "type string, property string, allowed array<string>")
     seen = entities.select("type", F.explode("properties").alias("property", "v")).select("type", "property", F.col("v.s").alias("value")).where("value is not null")
-    per = seen.groupBy("type", "property", "value").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(closed), ["type", "property"])
+    per = seen.groupBy("type", "property", "value").agg(F.count(F.lit(1)).alias("n")).join(size_checked(closed), ["type", "property"])
     return per.where(~F.array_contains("allowed", F.col("value")) & (F.col("n") >= least)).drop("allowed")
 
 

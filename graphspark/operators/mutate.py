@@ -32,14 +32,28 @@ def changed_keys(old: Column, new: Column) -> Column:
     return F.array_sort(F.filter(keys, lambda k: ~old[k].eqNullSafe(new[k])))
 
 
+def numbered(rows: DataFrame, base: str, taken: DataFrame, out: str, order: str = "id") -> DataFrame:
+    """rows with a free name in the column `out`: the column `base` itself, or that with a number from -2 on.
+
+    taken: names in use (column name). Numbers go on after the largest one in use, among the taken names and the other
+    rows' bases; rows of one base follow `order`."""
+    bases = rows.select(F.col(base).alias("_name")).distinct()
+    held = taken.select(F.col("name").alias("_name"), F.lit(True).alias("_held")).unionByName(bases.withColumn("_held", F.lit(False)))
+    number = F.regexp_extract("_name", r"-(\d{1,9})$", 1)
+    own = held.groupBy(F.col("_name").alias("_base")).agg(F.max("_held").cast("int").alias("_plain"))
+    more = held.where(number != "").groupBy(F.regexp_replace("_name", r"-\d{1,9}$", "").alias("_base")).agg(F.max(number.cast("int")).alias("_most"))
+    used = own.join(more, "_base", "left").select("_base", F.greatest("_plain", F.coalesce(F.when(F.col("_plain") == 1, F.col("_most")), F.lit(0))).alias("_used"), F.coalesce("_most", F.lit(0)).alias("_most"))
+    n = F.row_number().over(Window.partitionBy(base).orderBy(order))
+    # a free base goes to the first row; the others are numbered after the largest number there is, and after 1
+    later = n + F.greatest(F.col("_most"), F.lit(1)) - F.when(F.col("_used") == 0, 1).otherwise(0)
+    name = F.when((F.col("_used") == 0) & (n == 1), F.col(base)).otherwise(F.concat_ws("-", F.col(base), later.cast("string")))
+    return rows.join(used, F.col(base) == F.col("_base"), "left").withColumn(out, name).drop("_base", "_used", "_most")
+
+
 def with_slugs(new: DataFrame, taken: DataFrame) -> DataFrame:
-    """new with a slug of its own for each row: type and label, numbered from -2 where that is taken (column slug).
-    The numbers of one base slug follow the order of id."""
-    base = new.withColumn("_base", entity_slug(F.col("type"), F.col("label")))
-    used = taken.select(F.regexp_replace("slug", r"-\d+$", "").alias("_base"), F.col("slug"))
-    used = used.union(taken.select(F.col("slug").alias("_base"), "slug")).distinct().groupBy("_base").agg(F.count(F.lit(1)).alias("_used"))
-    n = F.row_number().over(Window.partitionBy("_base").orderBy("id")) + F.coalesce("_used", F.lit(0))
-    return base.join(used, "_base", "left").withColumn("slug", F.when(n == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", n.cast("string")))).drop("_base", "_used")
+    """new with a slug of its own for each row: type and label, numbered where that is taken (column slug)."""
+    base = new.withColumn("_slug", entity_slug(F.col("type"), F.col("label")))
+    return numbered(base, "_slug", taken.where("slug is not null").select(F.col("slug").alias("name")), "slug").drop("_slug")
 
 
 def create_vertices(graph: Graph, new: DataFrame, vocabulary: Vocabulary, provenance: Column | None = None) -> tuple[Graph, DataFrame]:
@@ -100,7 +114,8 @@ def merge_vertices(graph: Graph, incoming: DataFrame, policy: str = "skip") -> t
     """The vertices after an import, and id_in, id_out, action of each incoming row (unique by id).
 
     A row collides if its id exists, or else its slug (or label, without slugs). skip keeps the old row, overwrite
-    takes the new one under the old id, rename adds it as "<id>-imported"; rows without collision are added."""
+    takes the new one under the old id, rename adds it under a free id from "<id>-imported" on, numbered from -2 where that
+    is taken, and its slug alike; rows without collision are added."""
     if policy not in ("skip", "overwrite", "rename"):
         raise ValueError(f"unknown policy {policy}")
     key = "slug" if "slug" in incoming.columns and "slug" in graph.vertices.columns else None
@@ -111,14 +126,26 @@ def merge_vertices(graph: Graph, incoming: DataFrame, policy: str = "skip") -> t
         both = both.join(by_key, key, "left").withColumn("_hit", F.coalesce("_hit", "_hit2")).drop("_hit2")
     new = F.col("_hit").isNull()
     action = F.when(new, "created").otherwise({"skip": "skipped", "overwrite": "overwritten", "rename": "renamed"}[policy])
-    out = F.when(new, F.col("id")).otherwise(F.concat("id", F.lit("-imported")) if policy == "rename" else F.col("_hit"))
-    marked = both.withColumn("_out", out).withColumn("_action", action)
+    marked = both.withColumn("_out", F.when(new, F.col("id")).otherwise(F.col("_hit"))).withColumn("_action", action)
+    if policy == "rename":
+        marked = _renamed(marked, graph.vertices, key)
     log = marked.select(F.col("id").alias("id_in"), F.col("_out").alias("id_out"), F.col("_action").alias("action"))
     taken = marked.where("_action <> 'skipped'").withColumn("id", F.col("_out")).drop("_hit", "_out", "_action")
     kept = graph.vertices if policy != "overwrite" else graph.vertices.join(taken.select("id"), "id", "left_anti")
     return kept.unionByName(taken.select([c for c in graph.vertices.columns if c in taken.columns]), allowMissingColumns=True), log
 
 
+def _renamed(marked: DataFrame, old: DataFrame, key: str | None) -> DataFrame:
+    """marked with free ids, and slugs if there are any, for the rows that collide."""
+    fresh, moved = marked.where("_action = 'created'"), marked.where("_action = 'renamed'")
+    ids = old.select(F.col("id").alias("name")).unionByName(fresh.select(F.col("id").alias("name")))
+    moved = numbered(moved.drop("_out").withColumn("_base_id", F.concat("id", F.lit("-imported"))), "_base_id", ids, "_out").drop("_base_id")
+    if key:
+        slugs = old.select(F.col(key).alias("name")).unionByName(fresh.select(F.col(key).alias("name"))).where("name is not null")
+        moved = numbered(moved.withColumn("_base_slug", F.concat(key, F.lit("-imported"))).drop(key), "_base_slug", slugs, key).drop("_base_slug")
+    return fresh.unionByName(moved)
+
+
 def merge_edges(vertices: DataFrame, edges: DataFrame, incoming: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The edges after an import whose vertices went through merge_vertices(), and a warning for each refused edge:
     an end that doesn't exist (orphan), or an edge of the same type and ends (duplicate)."""

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from graphspark.functions.names import hash32
 from graphspark.operators.read import chunks
+from graphspark.plans.scratch import size_checked
 
 PROMPT_TOKENS, CHARS_PER_TOKEN = 2000, 4
+#: Workers that are broadcast; more are joined by shuffle.
+WORKERS = 10_000
 # Share of output to input tokens, and the needed capability, by type of document.
 DENSITY = {"spec-sheet": 0.6, "om-manual": 0.3, "performance-handbook": 0.4, "troubleshooting": 0.35, "parts-catalog": 0.5, "general": 0.4}
 NEEDS = {"spec-sheet": "structured-extraction", "om-manual": "prose-extraction", "performance-handbook": "prose-extraction", "troubleshooting": "prose-extraction", "parts-catalog": "structured-extraction", "general": "structured-extraction"}
@@ -30,10 +33,10 @@ def assign_workers(docs: DataFrame, workers: DataFrame) -> DataFrame:
 
     workers: name, capabilities, context_window, max_output, input_cost, output_cost (per million), ord. A worker needs
     the type's capability, and a large context for documents above 8000 tokens unless they fit; the fewest chunks go
-    first, then the cheapest, then ord. Workers are configuration, a handful of rows: they are broadcast."""
+    first, then the cheapest, then ord. Workers are configuration: up to WORKERS of them are broadcast."""
     need = _lookup(F.col("type"), NEEDS, NEEDS["general"])
     room = F.col("context_window") - PROMPT_TOKENS - F.col("max_output")
-    pairs = docs.crossJoin(F.broadcast(workers.limit(1000)))
+    pairs = docs.crossJoin(size_checked(workers, WORKERS))
     fits = F.array_contains("capabilities", need) & ((F.col("tokens") <= 8000) | F.array_contains("capabilities", "large-context") | (F.col("tokens") <= room))
     chunks = F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.greatest(F.lit(1), room))).cast("long")
     scored = pairs.where(fits).withColumn("chunks", chunks).withColumn("room", room)
@@ -49,9 +52,8 @@ def assign_workers(docs: DataFrame, workers: DataFrame) -> DataFrame:
 def reassign(failed: DataFrame, workers: DataFrame) -> DataFrame:
     """failed (source, worker, tried, error) with next_worker: of those not tried and more capable for the kind of
     error (a larger context; for bad output, also a higher price; else more capabilities), the cheapest."""
-    w = workers.limit(1000)
-    now = w.select(F.col("name").alias("worker"), F.col("context_window").alias("cw"), (F.col("input_cost") + F.col("output_cost")).alias("cc"), F.size("capabilities").alias("caps"))
-    pairs = failed.join(F.broadcast(now), "worker").crossJoin(F.broadcast(w)).withColumn("price", F.col("input_cost") + F.col("output_cost"))
+    now = workers.select(F.col("name").alias("worker"), F.col("context_window").alias("cw"), (F.col("input_cost") + F.col("output_cost")).alias("cc"), F.size("capabilities").alias("caps"))
+    pairs = failed.join(size_checked(now, WORKERS), "worker").crossJoin(size_checked(workers, WORKERS)).withColumn("price", F.col("input_cost") + F.col("output_cost"))
     larger = F.col("context_window") > F.col("cw")
     error = F.lower(F.coalesce("error", F.lit("")))
     fits = F.when(error.rlike("context|too long|maximum.*token"), larger).when(error.rlike("json|parse|output|truncat"), larger | (F.col("price") > F.col("cc"))).otherwise(larger | (F.size("capabilities") > F.col("caps")))

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphspark.functions.props import Filter, all_of
-from graphspark.model import DETAIL, Graph, Page
+from graphspark.model import DETAIL, Graph, Page, Vocabulary
+from graphspark.operators.aggregate import statistics
 from graphspark.operators.halfedges import half_edges
 from graphspark.plans.scratch import stored
 
@@ -108,31 +109,38 @@ def relationships_of(graph: Graph, ids: DataFrame, direction: str = "both") -> D
 
 
 def enriched(graph: Graph, edges: DataFrame) -> DataFrame:
-    """edges with the labels of both ends; an unknown end shows its id."""
-    label = lambda side: graph.vertices.select(F.col("id").alias(f"{side}_id"), F.col("label").alias(f"{side}_label"))
-    out = edges.join(label("source"), "source_id", "left").join(label("target"), "target_id", "left")
-    return out.withColumns({f"{s}_label": F.coalesce(f"{s}_label", f"{s}_id") for s in ("source", "target")})
+    """edges with the labels of both ends, and their slugs if vertices have any; an unknown end shows its id."""
+    names = [c for c in ("slug", "label") if c in graph.vertices.columns]
+    out = edges
+    for side in ("source", "target"):
+        own = graph.vertices.select(F.col("id").alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in names])
+        out = out.join(own, f"{side}_id", "left")
+    return out.withColumns({f"{s}_{c}": F.coalesce(f"{s}_{c}", f"{s}_id") for s in ("source", "target") for c in names})
 
 
 @dataclass(frozen=True)
 class GraphPage:
-    """A page of a whole graph: its vertices, the edges at them (named, up to a cap) and where the next page starts."""
+    """A page of a whole graph: its vertices, the edges at them (named, up to a cap), where the next page starts, the
+    whole graph's statistics (kind, type, n) and its vocabulary."""
 
     vertices: DataFrame
     edges: DataFrame
     total_edges: int
     truncated: bool
     cursor: str | None
+    statistics: DataFrame
+    vocabulary: Vocabulary | None = None
 
 
-def graph_page(graph: Graph, limit: int = 200, offset: int = 0, level: str = "summary", most_edges: int = 1000) -> GraphPage:
+def graph_page(graph: Graph, limit: int = 200, offset: int = 0, level: str = "summary", most_edges: int = 1000, vocabulary: Vocabulary | None = None) -> GraphPage:
     """The page of vertices by id from the offset, and the edges with an end on it. Ends on other pages show their ids."""
     rows = detail(graph.vertices, level).orderBy("id").offset(offset).limit(limit)
     near = relationships_of(graph, rows)
     total = near.count()
     named = enriched(Graph(rows, near), near.orderBy("id").limit(most_edges))
-    more = offset + limit < graph.vertices.count()
-    return GraphPage(rows, named, total, total > most_edges, f"offset:{offset + limit}" if more else None)
+    counts = statistics(graph)
+    more = offset + limit < (counts.where("kind = 'entity' and type is null").agg(F.sum("n")).first()[0] or 0)
+    return GraphPage(rows, named, total, total > most_edges, f"offset:{offset + limit}" if more else None, counts, vocabulary)
 
 
 def induced(graph: Graph, ids: DataFrame) -> DataFrame:
@@ -147,10 +155,13 @@ def without_inbound(graph: Graph, types: list[str], edge_types: list[str] | None
     return graph.vertices.where(F.col("type").isin(types)).join(edges.select(F.col("target_id").alias("id")).distinct(), "id", "left_anti")
 
 
-def chunks(frame: DataFrame, size: int = 100, ranges: int = 64) -> DataFrame:
+def chunks(frame: DataFrame, size: int = 100, ranges: int | None = None) -> DataFrame:
     """frame with the sequence number of its chunk of `size` rows in order of id, and whether it is the last.
 
-    Row numbers come in two levels, within ranges of ids and over the ranges' counts, so no task sorts all rows."""
+    Row numbers come in two levels, within ranges of ids and over the ranges' counts, so no task sorts all rows.
+    There is a range for every million rows, and as many as shuffle partitions at least."""
+    if ranges is None:
+        ranges = max(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), frame.count() // 1_000_000)
     # written once: the bounds of ranges are sampled, and must be the same for counts and rows
     ordered = stored(frame.repartitionByRange(ranges, "id").withColumn("_part", F.spark_partition_id()), "chunks")
     counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -44,6 +45,28 @@ def token_search(frame: DataFrame, text: Column, token: str) -> DataFrame:
     return frame.where(F.array_contains(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), token.lower()))
 
 
+def token_rank(frame: DataFrame, text: Column, query: str, limit: int | None = None, id_col: str = "id") -> DataFrame:
+    """The rows that hold a word of the query, with their relevance as score: each word's share of the row's words times
+    the logarithm of its rarity, summed; the best first, ties by id. Signs in the query separate words and mean nothing
+    else."""
+    words = sorted({w for w in re.split(r"[\W_]+", query.lower()) if w})
+    held = frame.withColumn("_w", F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    counts = [F.size(F.filter("_w", lambda w, x=x: w == x)) for x in words]
+    if not words:
+        return frame.withColumn("score", F.lit(0.0)).where("false")
+    seen = held.agg(F.count(F.lit(1)).alias("n"), *[F.sum((c > 0).cast("long")).alias(f"d{i}") for i, c in enumerate(counts)])
+    rarity = seen.select(*[F.log(1 + F.col("n") / F.greatest(F.col(f"d{i}"), F.lit(1))).alias(f"r{i}") for i in range(len(words))])
+    score = sum((F.col(f"r{i}") * c / F.greatest(F.size("_w"), F.lit(1)) for i, c in enumerate(counts)), F.lit(0.0))
+    found = held.crossJoin(F.broadcast(rarity)).withColumn("score", score).where("score > 0").select(*[F.col(f"`{c}`") for c in frame.columns], "score")
+    return found if limit is None else found.orderBy(F.desc("score"), id_col).limit(limit)
+
+
+def full_text_join(frame: DataFrame, keys: DataFrame, id_col: str = "id") -> DataFrame:
+    """The rows of frame that an outside full-text index found: keys (key, rank); the best rank first in column rank."""
+    best = keys.groupBy(F.col("key").alias(id_col)).agg(F.max("rank").alias("rank"))
+    return frame.join(best, id_col)
+
+
 def highlight(field: Column, query: str, shown: int | None = SHOWN) -> Column:
     """A snippet around the first word of the query that the field's first `shown` characters hold: 40 characters on
     either side, "..." where it is cut; null if none of the words is there."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -12,68 +14,115 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHAPTER_SIZE, CHUNK_SIZE, OVERLAP = 30_000, 100_000, 2000
-_PAGE = re.compile(r"^--\s*\d+\s+of\s+\d+\s*--$")
-_ATX = re.compile(r"^(#{1,3})\s+(.+)$")
-
-
-def split_points(lines: list[str]) -> list[tuple[int, int, str, int]]:
-    """(line, priority, heading, level): headings 30, 20 and 10 by level, page marks 15, double blanks 5."""
-    out = []
-    for i, line in enumerate(lines):
-        s = line.strip()
-        if m := _ATX.match(s):
-            out.append((i, {1: 30, 2: 20, 3: 10}[len(m[1])], m[2].strip(), len(m[1])))
-        elif i + 1 < len(lines) and s and re.fullmatch(r"={3,}|-{3,}", lines[i + 1].strip()) and not _PAGE.match(s):
-            level = 1 if "=" in lines[i + 1] else 2
-            out.append((i, 40 - 10 * level, s, level))
-        elif _PAGE.match(s):
-            out.append((i, 15, s, 0))
-        elif not s and i and not lines[i - 1].strip() and (i < 2 or lines[i - 2].strip()):
-            out.append((i, 5, "", 0))
-    return out
-
-
-def chapters(text: str, most: int = CHAPTER_SIZE) -> list[tuple[int, str, int, int, int, str]]:
-    """(index, heading, level, first line, last line, content), lines from 1.
-
-    The first of these sets of points with two or more is used: H1 and H2, all headings and marks down to H3, page
-    marks and above, and so on. Neighbours are joined while they fit; too large pieces are cut at their best point."""
-    lines = text.split("\n")
-    points = split_points(lines)
-    if not points:
-        return [(0, "Document", 0, 1, len(lines), text)]
-    tiers = [[p for p in points if p[1] >= least] for least in (20, 10, 15, 5)]
-    chosen = next((t for t in tiers if len(t) >= 2), points)
-    bounds = [p[0] for p in chosen] + [len(lines)]
-    pieces = [(p[2] or f"Segment {k + 1}", p[3], p[0], bounds[k + 1]) for k, p in enumerate(chosen)]
-    if bounds[0] > 0 and "\n".join(lines[: bounds[0]]).rstrip():
-        pieces.insert(0, ("Preamble", 0, 0, bounds[0]))
-    size = [0]
-    for line in lines:
-        size.append(size[-1] + len(line) + 1)
-    length = lambda a, b: size[b] - size[a] - 1
-    joined: list[tuple[str, int, int, int]] = []
-    for heading, level, a, b in pieces:
-        if joined and length(joined[-1][2], b) <= most:
-            joined[-1] = (*joined[-1][:3], b)
-        else:
-            joined.append((heading, level, a, b))
-    out = []
-    for heading, level, a, b in joined:
-        start, first = a, True
-        while length(start, b) > most:
-            end = start + 1
-            while end < b and size[end + 1] - size[start] <= most:
-                end += 1
-            if end >= b:
-                break
-            inside = [p for p in points if start < p[0] <= end]
-            cut = min(inside, key=lambda p: (-p[1], p[0]))[0] if inside else end
-            out.append((heading if first else f"{heading} (continued)", level, start, cut))
-            start, first = cut, False
-        if start < b:
-            out.append((heading if first else f"{heading} (continued)", level, start, b))
-    return [(k, h, lv, a + 1, b, "\n".join(lines[a:b])) for k, (h, lv, a, b) in enumerate(out)]
+# What marks a place to cut, and its priority. Headings by number of marks, underlines, page marks, gaps.
+HEADING = r"(?U)^(#{1,3})\s+([^\r\n]+)\z"
+HEADING_PRIORITY = {1: 30, 2: 20, 3: 10}
+UNDERLINE = {1: r"^={3,}$", 2: r"^-{3,}$"}
+PAGE, PAGE_PRIORITY, GAP_PRIORITY = r"(?U)^--\s*\d+\s+of\s+\d+\s*--$", 15, 5
+#: Chapters are cut at the points of the first of these least priorities that at least two points have.
+TIERS = (20, 10, GAP_PRIORITY)
+
+
+def line_marks(lines: Column) -> Column:
+    """The lines (from 0) where a document may be cut, in order: array of line, priority, heading and level.
+
+    Each line is classified by itself and its neighbours in one pass over the array of lines. A line with an underline
+    below it is a heading unless it is marked itself; of two empty lines or more the second is a gap."""
+    bare = F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    edge = F.lit("-")
+    after = F.slice(bare, F.lit(2), F.greatest(F.size(bare) - 1, F.lit(0)))
+    near = {"line": lines, "own": bare, "last": F.concat(F.array(edge), bare), "other": F.concat(F.array(edge, edge), bare), "after": after}
+
+    def mark(x: Column, i: Column) -> Column:
+        level = F.length(F.regexp_extract(x["line"], HEADING, 1))
+        row = lambda priority, heading, lv: F.struct(i.cast("int").alias("line"), F.lit(priority).cast("int").alias("priority"), heading.alias("heading"), F.lit(lv).cast("int").alias("level"))
+        kinds = [(level == lv, row(priority, x["line"], lv)) for lv, priority in HEADING_PRIORITY.items()]
+        kinds.append((x["own"].rlike(PAGE), row(PAGE_PRIORITY, x["own"], 0)))
+        kinds += [((x["own"] != "") & x["after"].rlike(under), row(HEADING_PRIORITY[lv], F.concat(F.lit("#" * lv + " "), x["own"]), lv)) for lv, under in UNDERLINE.items()]
+        kinds.append(((x["own"] == "") & (x["last"] == "") & (x["other"] != ""), row(GAP_PRIORITY, F.lit(""), 0)))
+        return F.coalesce(*[F.when(held, value) for held, value in kinds])
+
+    marks = F.transform(F.arrays_zip(*[c.alias(k) for k, c in near.items()]), mark)
+    return F.filter(marks, lambda m: m.isNotNull())
+
+
+def marked_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, line (from 1), priority, heading and level of each place where a document may be cut."""
+    rows = _marked(docs, id_col, text_col)
+    return rows.select("doc_id", F.explode("marks").alias("m")).select("doc_id", (F.col("m.line") + 1).alias("line"), "m.priority", "m.heading", "m.level")
+
+
+def is_structured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and whether a document has two places to cut or more."""
+    return _marked(docs, id_col, text_col).select("doc_id", (F.size("marks") >= 2).alias("structured"))
+
+
+def _pack(sizes: list[int], bounds: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Neighbouring segments (numbers of the first and one past the last) that fit in `most` together, as few as can be.
+    bounds: the segments' first lines and the end; sizes: characters before each line, line feeds included."""
+    first = 0
+    for k in range(1, len(bounds) - 1):
+        if sizes[bounds[k + 1]] - sizes[bounds[first]] - 1 > most:
+            yield first, k
+            first = k
+    yield first, len(bounds) - 1
+
+
+def _cuts(sizes: list[int], marks: list[dict], lo: int, hi: int, most: int) -> Iterator[tuple[int, int]]:
+    """The lines lo to hi in parts of up to `most` characters, a line at least: each ends before the best mark in reach, the
+    first of equal ones, or where no further line fits."""
+    while sizes[hi] - sizes[lo] > most:
+        end = max(lo + 1, bisect.bisect_right(sizes, sizes[lo] + most) - 1)
+        near = [m for m in marks if lo < m["line"] <= end]
+        at = max(near, key=lambda m: (m["priority"], -m["line"]))["line"] if near else end
+        if at >= hi:
+            break
+        yield lo, at
+        lo = at
+    yield lo, hi
+
+
+def _chapters(lines: list[str], marks: list[dict], most: int) -> Iterator[tuple[str, int, int, int, str]]:
+    """(heading, level, first line, end, content) of a document's chapters."""
+    if not marks:
+        yield "Document", 0, 0, len(lines), "\n".join(lines)
+        return
+    least = next((t for t in TIERS if sum(m["priority"] >= t for m in marks) >= 2), 0)
+    points = [m for m in marks if m["priority"] >= least]
+    heads = [(m["heading"] or f"Segment {k}", m["level"]) for k, m in enumerate(points, 1)]
+    bounds = [*(m["line"] for m in points), len(lines)]
+    before = "\n".join(lines[: bounds[0]]).rstrip()
+    if before:  # what precedes the first point, without the blank lines at its end
+        heads, bounds = [("Preamble", 0), *heads], [0, *bounds]
+    kept = before.count("\n") + 1 if before else 0
+    blank = set(range(kept, points[0]["line"])) if before else set()
+    sizes = list(itertools.accumulate((0 if i in blank else len(x) + 1 for i, x in enumerate(lines)), initial=0))
+    if before:
+        sizes = [min(s, len(before) + 1) if i <= points[0]["line"] else s - sizes[points[0]["line"]] + len(before) + 1 for i, s in enumerate(sizes)]
+    text = lambda a, b: "\n".join(x for i, x in enumerate(lines[a:b], a) if i not in blank)
+    for first, last in _pack(sizes, bounds, most):
+        lo, hi = bounds[first], bounds[last]
+        whole = sizes[hi] - sizes[lo] - 1 <= most
+        for part, (a, b) in enumerate([(lo, hi)] if whole else _cuts(sizes, marks, lo, hi, most)):
+            yield heads[first][0] + (" (continued)" if part else ""), heads[first][1], a, b, text(a, b)
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
+    return docs.select(F.col(id_col).alias("doc_id"), lines.alias("lines")).withColumn("marks", line_marks(F.col("lines")))
+
+
+def overview(chapters: DataFrame, sources: DataFrame) -> DataFrame:
+    """doc_id, title, structure (an indented line for each heading) and chapters of each document of split_chapters(),
+    with the title from sources (doc_id, path) where a document has no heading."""
+    bare = F.regexp_replace("heading", r"^#+\s+", "")
+    line = F.when(F.col("level") > 0, F.concat(F.repeat(F.lit("  "), F.col("level") - 1), bare)).when(F.col("heading") != "Preamble", F.col("heading"))
+    rows = chapters.select("doc_id", "index", F.when(F.col("level") > 0, bare).alias("title"), line.alias("line"))
+    per = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chapters"), F.min_by("title", F.when(F.col("title").isNotNull(), F.col("index"))).alias("title"), F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("index", "line")))).alias("x"))
+    none = F.concat(F.col("chapters").cast("string"), F.lit(" segments (no heading structure detected)"))
+    structure = F.when(F.size("x") > 0, F.array_join(F.transform("x", lambda x: x["line"]), "\n")).otherwise(none)
+    name = F.element_at(F.split("path", "[/\\\\]"), -1)
+    return per.join(sources.select("doc_id", "path"), "doc_id", "left").select("doc_id", F.coalesce("title", name).alias("title"), structure.alias("structure"), "chapters")
 
 
 def chunks(text: str, most: int = CHUNK_SIZE, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
@@ -95,14 +144,18 @@ def chunks(text: str, most: int = CHUNK_SIZE, overlap: int = OVERLAP) -> list[tu
 
 
 def split_chapters(docs: DataFrame, most: int = CHAPTER_SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, index, heading, level, line_start, line_end and content of each chapter."""
+    """doc_id, index, heading, level, line_start, line_end (lines from 1) and content of each chapter.
+
+    Lines are marked by expressions; the marks of the first tier with two or more cut the text. Neighbours are joined while
+    they fit in `most` characters; larger pieces are cut again at their best mark, or between lines. A heading keeps its
+    marks; a null or empty text is one chapter."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            rows = [(i, *c) for i, t in zip(pdf["doc_id"], pdf["text"]) for c in chapters(t or "", most)]
+            rows = [(i, k, h, lv, a + 1, b, c) for i, lines, marks in zip(pdf["doc_id"], pdf["lines"], pdf["marks"]) for k, (h, lv, a, b, c) in enumerate(_chapters(list(lines), [m if isinstance(m, dict) else m.asDict() for m in marks], most))]
             yield pd.DataFrame(rows, columns=["doc_id", "index", "heading", "level", "line_start", "line_end", "content"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, index int, heading string, level int, line_start int, line_end int, content string")
+    return _marked(docs, id_col, text_col).mapInPandas(run, "doc_id long, index int, heading string, level int, line_start int, line_end int, content string")
 
 
 def split_chunks(docs: DataFrame, most: int = CHUNK_SIZE, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

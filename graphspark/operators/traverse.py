@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphspark.functions.props import all_of, plain
@@ -71,8 +71,9 @@ def _repeat(graph: Graph, walks: DataFrame, step: Step, emit_all: bool) -> tuple
     levels, frontier, visited, result = [], walks, walks.select("at").distinct(), walks
     for _ in range(r.max_depth):
         new = _walk(frontier, halves, targets).join(visited, "at", "left_anti")
-        first = Window.partitionBy("at").orderBy(F.transform("hops", lambda h: h["edge"]), "start")
-        new = stored(new.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"), "walks")
+        # a minimum is combined before the shuffle, so a hub's many walks never meet
+        rank = F.struct(F.transform("hops", lambda h: h["edge"]), "start")
+        new = stored(new.groupBy("at").agg(F.min_by(F.struct("start", "hops"), rank).alias("w")).select("w.start", "at", "w.hops"), "walks")
         levels.append(new)
         if r.until or r.until_types:
             stop = graph.vertices
@@ -133,6 +134,19 @@ def path_rows(graph: Graph, spec: Traversal) -> DataFrame:
     return ends.select("start", F.concat(F.array("start"), part("id")).alias("vertex_path"), part("edge").alias("edge_path"), part("dir").alias("directions"))
 
 
+def attached(graph: Graph, paths: DataFrame) -> DataFrame:
+    """paths (vertex_path, edge_path) with `vertices` and `edges`: arrays of id, type and label, or id, type, source_id and
+    target_id, in the order of the path; what doesn't exist has its id only."""
+    rows = paths.withColumn("_key", F.to_json(F.struct("vertex_path", "edge_path")))
+    out = rows
+    for ids, frame, names, to in (("vertex_path", graph.vertices, ("type", "label"), "vertices"), ("edge_path", graph.edges, ("type", "source_id", "target_id"), "edges")):
+        each = rows.select("_key", F.posexplode(ids).alias("_at", "id")).distinct()
+        both = each.join(frame.select("id", *names), "id", "left")
+        per = both.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_at", F.struct("id", *names).alias("x")))).alias("_x"))
+        out = out.join(per.select("_key", F.transform("_x", lambda e: e["x"]).alias(to)), "_key", "left")
+    return out.drop("_key")
+
+
 def everything(graph: Graph, spec: Traversal) -> DataFrame:
     """Vertices and edges of all walks, each once: kind ("vertex" or "edge"), id and the first depth, in the order
     depth, vertices before edges, id."""

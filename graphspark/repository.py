@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphspark.model import EDGE, VERTEX, Graph, Vocabulary
-from graphspark.operators import aggregate, explore, read, search, timeline, traverse
-from graphspark.operators.vocabulary import Decision, Governance, Proposal, audit_entities, audit_relationships, decide
+from graphspark.operators import aggregate, explore, mutate, read, search, timeline, traverse
+from graphspark.operators.vocabulary import Decision, Governance, Proposal, audit_entities, audit_relationships, bumped, decide, latest
 from graphspark.plans.traversal import Traversal
 from graphspark.sources.archive import vocabulary_json, vocabulary_of
 
 LIST_LIMIT = 20
+_RECORD = re.compile(r"^info-(\d{9})\.json$")
 _ID = re.compile(r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
 
 
@@ -41,7 +42,7 @@ class Info:
     description: str = ""
     metadata: str = "{}"
     governance: Governance = Governance()
-    version: int = 0  # of the tables
+    version: str = ""  # folder of the tables
     revision: int = 0  # of this record
     vocabulary: str = ""
 
@@ -63,20 +64,37 @@ class Store:
         return self.spark.read.option("wholetext", "true").text(f"{self.folder}/{name}").first()[0]
 
     def _write(self, name: str, text: str) -> None:
-        tmp = self._path(f"{self.folder}/{name}.{uuid.uuid4().hex}")
-        out = self._fs.create(tmp)
-        out.write(bytearray(text.encode()))
-        out.close()
-        target = self._path(f"{self.folder}/{name}")
-        self._fs.delete(target, False)
-        if not self._fs.rename(tmp, target):
-            raise Conflict(name)
+        """A new file; Conflict if there is one of the name. Files are never changed, so readers see whole ones only."""
+        out = self._path(f"{self.folder}/{name}")
+        try:
+            stream = self._fs.create(out, False)
+        except Exception as error:  # the file system's own error, by whatever class
+            if self._fs.exists(out):
+                raise Conflict(name) from error
+            raise
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
+    def _revisions(self, rid: str) -> list[int]:
+        """The numbers of a repository's records, the latest last."""
+        folder = self._path(f"{self.folder}/{rid}")
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return sorted(int(m[1]) for n in names if (m := _RECORD.match(n)))
+
+    def _record(self, rid: str) -> dict[str, Any] | None:
+        """The latest record that is whole: one cut off by a crash is passed over."""
+        for n in reversed(self._revisions(rid)):
+            try:
+                return json.loads(self._read(f"{rid}/info-{n:09d}.json") or "")
+            except ValueError:
+                continue
+        return None
 
     def create(self, label: str, vocabulary: Vocabulary = Vocabulary(), repository_id: str | None = None, **more: Any) -> Repository:
         rid = repository_id or str(uuid.uuid4())
         if not _ID.match(rid):
             raise ValueError("a repository id is a UUID")
-        if self._read(f"{rid}/info.json") is not None:
+        if self._record(rid) is not None:
             raise ValueError(f"{rid} exists")
         if not label.strip():
             raise ValueError("a label is needed")
@@ -86,10 +104,9 @@ class Store:
         return repo
 
     def open(self, rid: str) -> Repository:
-        raw = self._read(f"{rid}/info.json")
-        if raw is None:
+        d = self._record(rid)
+        if d is None:
             raise KeyError(rid)
-        d = json.loads(raw)
         return Repository(self, Info(**{**d, "governance": Governance(**d["governance"])}))
 
     def list(self, limit: int = LIST_LIMIT, offset: int = 0, type_: str | None = None) -> list[Info]:
@@ -121,27 +138,40 @@ class Repository:
 
     @property
     def graph(self) -> Graph:
-        at = f"{self.store.folder}/{self.info.repository_id}/v{self.info.version}"
+        at = f"{self.store.folder}/{self.info.repository_id}/{self.info.version}"
         r = self.store.spark.read
         return Graph(r.schema(VERTEX).parquet(f"{at}/entities"), r.schema(EDGE).parquet(f"{at}/relationships"))
 
     def _commit(self, info: Info) -> None:
-        stored = self.store._read(f"{info.repository_id}/info.json")
-        if stored is not None and json.loads(stored)["revision"] != self.info.revision:
+        """Stores a record under the next number. Of two writers that start from one revision only one creates that file."""
+        numbers = self.store._revisions(info.repository_id)
+        stored = self.store._record(info.repository_id)
+        if stored is not None and stored["revision"] != self.info.revision:
             raise Conflict("the repository was changed meanwhile")
-        info = replace(info, revision=self.info.revision + 1)
-        self.store._write(f"{info.repository_id}/info.json", json.dumps({**info.__dict__, "governance": info.governance.__dict__}))
+        info = replace(info, revision=(numbers[-1] if numbers else 0) + 1)
+        self.store._write(f"{info.repository_id}/info-{info.revision:09d}.json", json.dumps({**info.__dict__, "governance": info.governance.__dict__}))
         self.info = info
 
     def save(self, graph: Graph) -> None:
-        """Stores the graph as the next version."""
+        """Stores the graph as the next version, in a folder of its own: what a crash leaves behind is in no one's way."""
         self._announce("save", graph)
-        n = self.info.version + 1
-        at = f"{self.store.folder}/{self.info.repository_id}/v{n}"
+        version = f"v-{uuid.uuid4().hex}"
+        at = f"{self.store.folder}/{self.info.repository_id}/{version}"
         whole = lambda f, ddl: self.store.spark.createDataFrame([], ddl).unionByName(f.select([c for c in f.columns if c in self.store.spark.createDataFrame([], ddl).columns]), allowMissingColumns=True)
         whole(graph.vertices, VERTEX).write.parquet(f"{at}/entities")
         whole(graph.edges, EDGE).write.parquet(f"{at}/relationships")
-        self._commit(replace(self.info, version=n))
+        self._commit(replace(self.info, version=version))
+
+    def import_archive(self, graph: Graph, vocabulary: Vocabulary) -> DataFrame:
+        """Create mode: the archive's rows are upserted by id (a new repository holds none), its vocabulary replaces the
+        stored one under the higher of its version and a major step of the stored. Returns the refused edges."""
+        fresh = not self.info.version or self.graph.vertices.isEmpty()
+        new, errors = mutate.bulk_import(self.graph, graph.vertices, graph.edges)
+        if not fresh:
+            vocabulary = replace(vocabulary, version=latest(vocabulary.version, bumped(self.vocabulary.version, "major")))
+        self.save(new)
+        self._commit(replace(self.info, vocabulary=vocabulary_json(vocabulary)))
+        return errors
 
     def update(self, **changes: Any) -> None:
         """Changes label, type or description; metadata is merged at its top level."""
@@ -172,12 +202,16 @@ class Repository:
         return traverse.run(self.graph, spec)
 
     def sql(self, text: str, **args: Any) -> DataFrame:
-        """A query in SQL over the views `entities` and `relationships`; args are its named parameters."""
-        g, spark = self.graph, self.store.spark
-        return spark.sql(text.replace("entities", "{entities}").replace("relationships", "{relationships}"), args=args or None, entities=g.vertices, relationships=g.edges)
+        """A query in SQL over the views `entities` and `relationships`; args are its named parameters. The views belong to
+        a session of their own, so names of other repositories, and texts in the query, stay as they are."""
+        g, session = self.graph, self.store.spark.newSession()
+        at = f"{self.store.folder}/{self.info.repository_id}/{self.info.version}"
+        for name, frame in (("entities", g.vertices), ("relationships", g.edges)):
+            session.read.schema(frame.schema).parquet(f"{at}/{name}").createOrReplaceTempView(name)
+        return session.sql(text, args=args or None)
 
     def page(self, limit: int = 200, offset: int = 0, **options: Any) -> read.GraphPage:
-        return read.graph_page(self.graph, limit, offset, **options)
+        return read.graph_page(self.graph, limit, offset, vocabulary=self.vocabulary, **options)
 
     def re_embed(self, embeddable: list[str], embed: Any = None) -> None:
         """Computes all embeddings anew from label, summary and the given properties, and stores them."""

@@ -18,25 +18,31 @@ def latest(rows: DataFrame, key: str = "id", order: str = "ord") -> DataFrame:
 
 
 def upsert_into(path: str, key: str = "id", order: str = "ord") -> Callable[[DataFrame, int], None]:
-    """A batch function that keeps the table at `path` as versions, one for each batch; a batch that is replayed
-    writes its version again, so the result is the same."""
+    """A batch function that appends each batch's last rows by key under `path`, in a folder of the batch's number; a
+    batch that is replayed writes its folder again, so the result is the same. current() merges the batches on
+    reading, and compact() on disk, so a batch costs what it holds and not what the table holds."""
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = latest(batch, key, order)
-        if number:
-            old = spark.read.parquet(f"{path}/v{number - 1}")
-            new = old.join(new.select(key), key, "left_anti").unionByName(new)
-        new.write.mode("overwrite").parquet(f"{path}/v{number}")
+        latest(batch, key, order).write.mode("overwrite").parquet(f"{path}/batch={number:012d}")
 
     return run
 
 
-def import_stream(spark: SparkSession, folder: str, schema: str, target: str, checkpoint: str | None = None, form: str = "json") -> StreamingQuery:
-    """Starts to import the files of a folder, those there and those to come until stopped, into `target`."""
+def current(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
+    """The table's rows: of each key the one of the latest batch."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    # a maximum by batch is combined on the map side; whole rows travel once
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != "batch"]), "batch").alias("row"))
+    return last.select("row.*")
+
+
+def import_stream(spark: SparkSession, folder: str, schema: str, target: str, checkpoint: str | None = None, form: str = "json", every: str | None = None) -> StreamingQuery:
+    """Starts to import the files of a folder into `target`: those there now, or with `every` (an interval) also those to
+    come until the query is stopped."""
     rows = spark.readStream.schema(schema).format(form).load(folder)
     place = checkpoint or f"{scratch_root(spark)}/graphspark/stream-{hashlib.sha256(f'{folder}>{target}'.encode()).hexdigest()[:16]}"
-    return rows.writeStream.foreachBatch(upsert_into(target)).option("checkpointLocation", place).trigger(availableNow=True).start()
+    out = rows.writeStream.foreachBatch(upsert_into(target)).option("checkpointLocation", place)
+    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
 
 
 def event_counts(events: DataFrame, window: str = "1 hour", lateness: str = "2 hours", time: str = "ts") -> DataFrame:

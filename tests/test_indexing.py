@@ -42,18 +42,25 @@ def test_strings():
     assert jw("", "") == 1.0 and jw("a", "") == 0.0 and jw("abc", "xyz") == 0.0 and jw("x", "x") == 1.0
 
 
-def test_chapters():
+def test_chapters(spark):
+    one = lambda doc: spark.createDataFrame([(1, doc)], "doc_id long, text string")
+    chapters = lambda doc, most=30_000: [tuple(r)[1:] for r in text.split_chapters(one(doc), most).orderBy("index").collect()]
     doc = "intro\n# One\na\n## Sub\nb\n# Two\nc"
-    whole = text.chapters(doc)
-    assert [(c[0], c[1], c[3], c[4]) for c in whole] == [(0, "Preamble", 1, 7)] and whole[0][5] == doc
-    small = text.chapters(doc, 12)
-    assert [c[1] for c in small] == ["Preamble", "One", "Sub", "Two"]
+    assert chapters(doc) == [(0, "Preamble", 0, 1, 7, doc)]
+    small = chapters(doc, 12)
+    assert [c[1] for c in small] == ["Preamble", "# One", "## Sub", "# Two"]
     assert "\n".join(c[5] for c in small) == doc
-    assert text.chapters("no headings\nat all") == [(0, "Document", 0, 1, 2, "no headings\nat all")]
+    assert chapters("no headings\nat all") == [(0, "Document", 0, 1, 2, "no headings\nat all")] and chapters(None)[0][5] == ""
     long = "# A\n" + "\n".join("line %d" % i for i in range(100)) + "\n# B\nend"
-    parts = text.chapters(long, 200)
-    assert "\n".join(c[5] for c in parts) == long and all(len(c[5]) <= 200 for c in parts) and parts[1][1] == "A (continued)"
-    assert [p[1] for p in text.split_points(["# a", "x", "===", "-- 1 of 2 --", "", "", "### b"])] == [30, 30, 15, 5, 10]
+    parts = chapters(long, 200)
+    assert "\n".join(c[5] for c in parts) == long and all(len(c[5]) <= 200 for c in parts) and parts[1][1] == "# A (continued)"
+    assert [c[1:] for c in chapters("pre\n\n\n# A\nb\n# C", 6)] == [("Preamble", 0, 1, 3, "pre"), ("# A", 1, 4, 5, "# A\nb"), ("# C", 1, 6, 6, "# C")]
+    marks = "# a\nx\n===\n-- 1 of 2 --\n\n\n### b\n  # code\ny\n---\n# q\n---"
+    got = [(r.line, r.priority, r.heading) for r in text.marked_lines(one(marks)).collect()]
+    assert got == [(1, 30, "# a"), (2, 30, "# x"), (4, 15, "-- 1 of 2 --"), (6, 5, ""), (7, 10, "### b"), (9, 20, "## y"), (11, 30, "# q")]
+    assert text.is_structured(one(marks)).first().structured and not text.is_structured(one("a\nb")).first().structured
+    o = text.overview(text.split_chapters(one(doc), 12), spark.createDataFrame([(1, "x/y.md")], "doc_id long, path string")).first()
+    assert (o.title, o.structure, o.chapters) == ("One", "One\n  Sub\nTwo", 4)
 
 
 def test_chunks():
