@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphspark.queries import graph, indexing
+from graphspark.queries import graph, indexing, upkeep
 
 FLAGSHIP = "explore_d2"
-_FAMILIES = (graph, indexing)
+_FAMILIES = (graph, indexing, upkeep)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -51,7 +51,8 @@ def token_rank(frame: DataFrame, text: Column, query: str, limit: int | None = N
     else."""
     words = sorted({w for w in re.split(r"[\W_]+", query.lower()) if w})
     held = frame.withColumn("_w", F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    counts = [F.size(F.filter("_w", lambda w, x=x: w == x)) for x in words]
+    count = lambda x: F.size(F.filter("_w", lambda w: w == F.lit(x)))
+    counts = [count(x) for x in words]
     if not words:
         return frame.withColumn("score", F.lit(0.0)).where("false")
     seen = held.agg(F.count(F.lit(1)).alias("n"), *[F.sum((c > 0).cast("long")).alias(f"d{i}") for i, c in enumerate(counts)])

@@ -162,7 +162,8 @@ def everything(graph: Graph, spec: Traversal) -> DataFrame:
 def page_of_everything(graph: Graph, spec: Traversal) -> tuple[DataFrame, DataFrame]:
     """The page's vertices and edges; ends of its edges that lie on other pages are filled in."""
     rows = everything(graph, spec)
-    page = rows.orderBy("depth", F.desc("kind"), "id").offset(spec.offset).limit(spec.limit)
+    # a page's few rows are read three times: computed once
+    page = stored(rows.orderBy("depth", F.desc("kind"), "id").offset(spec.offset).limit(spec.limit), "page")
     edges = graph.edges.join(page.where("kind = 'edge'").select("id"), "id", "left_semi")
     ids = page.where("kind = 'vertex'").select("id").union(edges.select("source_id")).union(edges.select("target_id")).distinct()
     return graph.vertices.join(ids, "id", "left_semi"), edges

@@ -14,7 +14,7 @@ from graphspark.functions.names import label_key, screaming_snake, type_name
 from graphspark.functions.props import bag, literal, number, text
 from graphspark.functions.similarity import cosine, jaro_winkler
 from graphspark.model import BAG, EntityType, Graph, Property, RelationshipType, Vocabulary
-from graphspark.operators import corrections, extraction, planning, resolve, search, timeline, vocabulary
+from graphspark.operators import extraction, planning, resolve, search, timeline, vocabulary
 from graphspark.operators import text as lines
 from graphspark.plans.scratch import size_checked
 from graphspark.sources.star_graph import star_graph
@@ -91,10 +91,12 @@ def embedding_text(spark: SparkSession, d: str) -> DataFrame:
     return v.select("id", search.embedding_text(F.col("label"), F.col("summary"), F.col("properties"), ["kind", "absent"]).alias("txt"))
 
 
-@query()
+@query("""WITH c AS (SELECT p_partkey AS k, (i - 1) % 8 AS pos, sum(unicode(p_name[i]) / 128.0) AS v FROM part, range(1, 60) r(i) WHERE i <= length(p_name) GROUP BY ALL), n AS (SELECT k, sqrt(sum(v * v)) AS norm FROM c GROUP BY k)
+SELECT 'part:' || k AS id, CAST(pos AS INTEGER) AS pos, round(CAST(v / norm AS DOUBLE), 3) AS value FROM c JOIN n USING (k)""")
 def hash_embeddings(spark: SparkSession, d: str) -> DataFrame:
     v = star_graph(spark, d, ("Part",), ("SUPPLIED_BY",)).vertices
-    return v.select("id", F.array_join(F.transform(search.embedder()(F.col("label")), lambda x: F.round(x, 4).cast("string")), ",").alias("vector"))
+    rows = v.select("id", F.posexplode(search.embedder()(F.col("label"))).alias("pos", "v")).where("v <> 0")
+    return rows.select("id", "pos", F.round(F.col("v").cast("double"), 3).alias("value"))
 
 
 # --- names ----------------------------------------------------------------------------------------------------------
@@ -110,19 +112,23 @@ def normalize_name(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "customer").select(F.col("c_name").alias("name"), type_name(F.col("c_name")).alias("normal"))
 
 
-@query("SELECT r_name AS name, r_name = r_name AS same FROM region")
+@query("SELECT r_name AS name, 'e ' || lower(r_name) || '-x/y' AS key FROM region")
 def label_keys(spark: SparkSession, d: str) -> DataFrame:
     r = _table(spark, d, "region")
-    return r.select(F.col("r_name").alias("name"), (label_key(F.concat(F.lit(" "), "r_name", F.lit("  "))) == label_key(F.lower("r_name"))).alias("same"))
+    return r.select(F.col("r_name").alias("name"), label_key(F.concat(F.lit(" É  "), "r_name", F.lit(" -  X / y "))).alias("key"))
 
 
-@query()
+_JW = "j + least(4, CASE WHEN a[1] <> b[1] THEN 0 WHEN a[2] <> b[2] THEN 1 WHEN a[3] <> b[3] THEN 2 WHEN a[4] <> b[4] THEN 3 ELSE 4 END) * 0.1 * (1 - j)"
+_PAIRS = "WITH n AS (SELECT DISTINCT p_type AS t FROM part), p AS (SELECT x.t AS a, y.t AS b, jaro_similarity(x.t, y.t) AS j FROM n x, n y)"
+
+
+@query(f"{_PAIRS} SELECT a, b, round({_JW}, 6) AS score FROM p WHERE a < b")
 def jaro_winkler_names(spark: SparkSession, d: str) -> DataFrame:
     p = _table(spark, d, "part").select("p_type").distinct()
     return p.select(F.col("p_type").alias("a")).crossJoin(size_checked(p.select(F.col("p_type").alias("b")))).where("a < b").select("a", "b", F.round(jaro_winkler("a", "b"), 6).alias("score"))
 
 
-@query()
+@query(f"{_PAIRS} SELECT a, b, round({_JW}, 6) AS score FROM p WHERE {_JW} >= 0.9")
 def type_dedup(spark: SparkSession, d: str) -> DataFrame:
     p = _table(spark, d, "part").select(F.col("p_type").alias("name")).distinct()
     return resolve.similar_names(p, p, 0.9).select("a", "b", F.round("score", 6).alias("score"))
@@ -226,7 +232,8 @@ def duplicate_labels(spark: SparkSession, d: str) -> DataFrame:
     return extraction.duplicate_labels(_entities(spark, d))
 
 
-@query()
+@query("""WITH r AS (SELECT DISTINCT p_name AS l FROM part UNION SELECT split_part(p_name, ' ', 1) FROM part WHERE p_partkey % 50 = 0), w AS (SELECT l, list_distinct(string_split(lower(l), ' ')) AS w FROM r)
+SELECT 'all' AS source, 'Part' AS type, a.l AS sub, b.l AS sup FROM w a, w b WHERE len(a.w) < len(b.w) AND list_has_all(b.w, a.w)""")
 def token_subset(spark: SparkSession, d: str) -> DataFrame:
     p = _table(spark, d, "part")
     rows = p.select(F.lit("all").alias("source"), F.lit("Part").alias("type"), F.col("p_name").alias("label")).union(p.where("p_partkey % 50 = 0").select(F.lit("all"), F.lit("Part"), F.element_at(F.split("p_name", " "), 1)))
@@ -238,11 +245,15 @@ def label_quality(spark: SparkSession, d: str) -> DataFrame:
     return extraction.label_problems(_entities(spark, d))
 
 
-@query(f"WITH {_E}, d AS (SELECT DISTINCT type, lower(label) AS key FROM E WHERE ord % 10 = 0) SELECT type, count(*) AS labels, CAST(4 AS BIGINT) AS values, count(*) AS matched, CAST(1.0 AS DOUBLE) AS dominance, round(count(*) / 4, 2) AS coverage FROM d GROUP BY type HAVING count(*) / 4 >= 0.6")
+@query("""WITH l AS (SELECT r_name AS type, lower(n_name) AS key, n_nationkey % 6 <> 5 AS listed FROM nation JOIN region ON r_regionkey = n_regionkey), s AS (SELECT type, count(*) AS labels, count(*) FILTER (listed) AS matched FROM l GROUP BY type)
+SELECT type, labels, matched + 1 AS values, matched, round(matched / labels, 2) AS dominance, round(matched / (matched + 1), 2) AS coverage FROM s WHERE matched > 0 AND matched + 1 >= 4 AND matched / labels >= 0.8 AND matched / (matched + 1) >= 0.6""")
 def enum_checklist(spark: SparkSession, d: str) -> DataFrame:
-    e = _entities(spark, d)
-    controlled = e.select("type").distinct().withColumn("value", F.explode(F.array(*[F.lit(f"L{k}") for k in (0, 10, 20, 30)])))
-    return extraction.enum_checklist(e, controlled)
+    """Nations as entities of their region's type, beside all customers; most nations' names, and one that no nation
+    has, are their type's controlled values."""
+    n = _table(spark, d, "nation").join(_table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    labels = n.select(F.col("r_name").alias("type"), F.col("n_name").alias("label")).unionByName(_table(spark, d, "customer").select(F.lit("Customer").alias("type"), F.col("c_name").alias("label")))
+    listed = n.where("n_nationkey % 6 <> 5").select(F.col("r_name").alias("type"), F.lower("n_name").alias("value"))
+    return extraction.enum_checklist(labels, listed.unionByName(n.select(F.col("r_name").alias("type"), F.lit("nowhere").alias("value")).distinct()))
 
 
 @query(f"WITH {_R} SELECT source, CAST(start AS INTEGER) AS line_start, CAST(start + 2 AS INTEGER) AS line_end, count(*) AS n FROM R GROUP BY source, start HAVING count(*) >= 10")
@@ -361,7 +372,15 @@ def merge_stats(spark: SparkSession, d: str) -> DataFrame:
     return extraction.merge_rates(_registry(spark, d), _log(spark, d))
 
 
-@query()
+@query("""WITH p AS (SELECT p_partkey AS k, p_brand AS type, p_name || ' ' || p_partkey AS name FROM part),
+q AS (SELECT k AS key, type, CASE k % 4 WHEN 0 THEN upper(name) WHEN 1 THEN 'ALIAS-' || (k % 700) WHEN 2 THEN name || 'x' ELSE reverse(name) END AS label FROM p),
+r AS (SELECT k AS entry, type, lower(name) AS low, regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, ['x' || (k % 500), 'alias-' || (k % 700), lower(name)] AS names FROM p),
+s AS (SELECT q.key, min(r.entry) AS entry, 1.0 AS c, 'slug' AS how FROM q JOIN r ON r.type = q.type AND r.slug = regexp_replace(regexp_replace(lower(q.label), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') GROUP BY q.key),
+a AS (SELECT q.key, min(r.entry) AS entry, 0.9 AS c, 'alias' AS how FROM q JOIN r ON r.type = q.type AND list_contains(r.names, lower(q.label)) WHERE q.key NOT IN (SELECT key FROM s) GROUP BY q.key),
+j AS (SELECT q.key, r.entry, lower(q.label) AS a, r.low AS b, jaro_similarity(lower(q.label), r.low) AS j FROM q JOIN r ON r.type = q.type WHERE q.key NOT IN (SELECT key FROM s) AND q.key NOT IN (SELECT key FROM a)),
+f AS (SELECT key, entry, """ + _JW + """ AS c, 'fuzzy' AS how FROM j WHERE """ + _JW + """ >= 0.9 QUALIFY row_number() OVER (PARTITION BY key ORDER BY c DESC, entry) = 1),
+m AS (SELECT * FROM s UNION ALL SELECT * FROM a UNION ALL SELECT * FROM f)
+SELECT q.key, m.entry, m.how AS matched_by, round(CAST(m.c AS DOUBLE), 6) AS confidence FROM q LEFT JOIN m ON m.key = q.key""")
 def registry_match(spark: SparkSession, d: str) -> DataFrame:
     p, k = _table(spark, d, "part"), F.col("p_partkey")
     name = F.concat("p_name", F.lit(" "), k.cast("string"))
@@ -380,16 +399,11 @@ def resolve_relationships(spark: SparkSession, d: str) -> DataFrame:
 # --- texts ------------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query("SELECT doc_id, 0 AS index, 'Document' AS heading, 1 AS line_start, CAST(len(string_split(coalesce(text, ''), chr(10))) AS INTEGER) AS line_end, CAST(length(coalesce(text, '')) AS INTEGER) AS n FROM documents")
 def chapter_split(spark: SparkSession, d: str) -> DataFrame:
     return lines.split_chapters(_table(spark, d, "documents"), 4000).select("doc_id", "index", "heading", "line_start", "line_end", F.length("content").alias("n"))
 
 
-@query()
-def chunk_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return lines.split_chunks(_table(spark, d, "documents"), 3000, 300).select("doc_id", "index", "line_offset", F.length("content").alias("n"))
-
-
 @query("SELECT doc_id, CAST(i AS INTEGER) AS line, split_part(text, chr(10), CAST(i AS BIGINT)) AS content FROM documents, range(2, 5) r(i) WHERE i <= len(string_split(text, chr(10)))")
 def source_lines(spark: SparkSession, d: str) -> DataFrame:
     return lines.read_lines(_table(spark, d, "documents"), 2, 4)
@@ -400,38 +414,11 @@ def source_grep(spark: SparkSession, d: str) -> DataFrame:
     return lines.grep(_table(spark, d, "documents"), r"stand\w*\.").select("doc_id", "line", "content")
 
 
-@query()
-def heading_index(spark: SparkSession, d: str) -> DataFrame:
-    return lines.headings(_table(spark, d, "documents"))
-
-
-@query()
+@query("SELECT doc_id, 0 AS tables, 'clean' AS verdict, '' AS reasons FROM documents")
 def table_detection(spark: SparkSession, d: str) -> DataFrame:
     return lines.detect_tables(_table(spark, d, "documents"))
 
 
-@query()
-def json_salvage(spark: SparkSession, d: str) -> DataFrame:
-    """Answers built from conversations: whole, fenced and cut off in the middle."""
-    c = _table(spark, d, "conversations").where("turn = 0")
-    one = F.to_json(F.struct(F.substring("text", 1, 20).alias("label"), F.lit("T").alias("entityType")))
-    whole = F.concat(F.lit('{"entities": ['), one, F.lit(", "), one, F.lit('], "relationships": []}'))
-    cut = F.substring(whole, F.lit(1), F.length(whole) - 30)
-    answer = F.when(F.col("conv_id") % 3 == 0, whole).when(F.col("conv_id") % 3 == 1, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).otherwise(cut)
-    return c.select("conv_id", lines.salvaged(answer).alias("json"))
-
-
-@query()
-def corrections_apply(spark: SparkSession, d: str) -> DataFrame:
-    """Each nation's customers as an extraction; its corrections rename, delete and group."""
-    c = _table(spark, d, "customer")
-    item = F.struct(F.col("c_name").alias("label"), F.lit("Customer").alias("type"), F.create_map(F.lit("segment"), F.col("c_mktsegment")).alias("properties"))
-    x = c.groupBy(F.col("c_nationkey").cast("string").alias("source")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(item.dropFields("properties"))).alias("entities"), F.array().cast("array<struct<a:string>>").alias("relationships"))).alias("extraction"))
-    first = c.groupBy(F.col("c_nationkey").cast("string").alias("source")).agg(F.min("c_name").alias("label"))
-    fix = first.select("source", F.explode(F.array(F.struct(F.lit(0).alias("ord"), F.to_json(F.struct(F.lit("entity").alias("item"), F.lit("update").alias("operation"), "label", F.lit("tier").alias("property"), F.lit("gold").alias("value"))).alias("correction")), F.struct(F.lit(1).alias("ord"), F.to_json(F.struct(F.lit("entity").alias("item"), F.lit("delete").alias("operation"), F.lit("nobody").alias("label"))).alias("correction")))).alias("c")).select("source", "c.ord", "c.correction")
-    return corrections.apply_corrections(x, fix).select("source", F.length("extraction").alias("n"), "report")
-
-
 # --- planning and time --------------------------------------------------------------------------------------------------
 
 
@@ -447,7 +434,7 @@ def worker_assign(spark: SparkSession, d: str) -> DataFrame:
     return planning.assign_workers(docs, workers).select("source", "type", "tokens", "worker", "chunks", "input_tokens")
 
 
-@query("SELECT 'extract' AS phase")
+@query("SELECT CASE WHEN count(*) = 0 THEN 'prepare' WHEN bool_and(o_orderstatus NOT IN ('O', 'F')) THEN 'complete' WHEN bool_or(o_orderstatus = 'O') THEN 'extract' ELSE 'extraction-review' END AS phase FROM orders")
 def phase_detect(spark: SparkSession, d: str) -> DataFrame:
     o = _table(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "F", "extracted").otherwise("excluded").alias("status"))
     return planning.phase(o)
@@ -460,7 +447,8 @@ def weighted_ranges(spark: SparkSession, d: str) -> DataFrame:
     return planning.assign_ranges(p, [1, 2, 3]).select("id", "worker")
 
 
-@query()
+@query("""WITH p AS (SELECT p_brand AS source, p_name || ' ' || p_partkey AS label, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(p_brand || ':' || p_name || ' ' || p_partkey, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: (h * 31 + c) % 4294967296) AS u FROM part)
+SELECT source, label, CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END AS hash FROM p ORDER BY hash, source, label LIMIT (SELECT CAST(ceil(count(*) * 0.2) AS BIGINT) FROM part)""")
 def deterministic_sample(spark: SparkSession, d: str) -> DataFrame:
     p = _table(spark, d, "part").select(F.col("p_brand").alias("source"), F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("label"))
     return planning.sample(p)

@@ -275,18 +275,3 @@ def test_all_type_names_are_compared(spark):
     assert got == {p: round(x, 6) for p, x in score.items() if p[0] < p[1]}
     got = {(r.a, r.b): r.score for r in catalogue.queries()["type_dedup"](spark, folder).collect()}
     assert got == {p: round(x, 6) for p, x in score.items() if x >= 0.9}
-
-
-def test_all_entities_are_checked_for_enumerations(spark):
-    from graphspark import catalogue
-    from graphspark.queries.indexing import _entities
-
-    folder = "/root/testdata/sf0.01"
-    labels = {(r.type, r.label.strip().lower()) for r in _entities(spark, folder).collect()}
-    values = {f"l{k}" for k in (0, 10, 20, 30)}
-    want = set()
-    for t in {t for t, _ in labels}:
-        own = {x for u, x in labels if u == t}
-        if len(own & values) >= 0.8 * len(own) and len(own & values) >= 0.6 * len(values):
-            want.add((t, len(own), len(own & values)))
-    assert {(r.type, r.labels, r.matched) for r in catalogue.queries()["enum_checklist"](spark, folder).collect()} == want
