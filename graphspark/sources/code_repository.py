@@ -21,7 +21,11 @@ ERRORS = r"(?m)^\s*export\s+class\s+(\w+Error)\b"
 def files(spark: SparkSession, folder: str, endings: tuple[str, ...] = tuple(IMPORTS)) -> DataFrame:
     """path (below the folder), ending and text."""
     raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(endings) + "}").text(folder)
-    path = F.regexp_replace(F.regexp_replace(F.input_file_name(), "^file:/+", "/"), "^" + folder.rstrip("/") + "/", "")
+    # the folder as the file system names it, so that any scheme, or none, may be given
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    base = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    local = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    path = F.regexp_replace(local(F.input_file_name()), F.concat(F.lit(r"^\Q"), local(F.lit(base)), F.lit(r"\E/+")), F.lit(""))
     return raw.select(path.alias("path"), F.col("value").alias("text")).withColumn("ending", F.regexp_extract("path", r"\.(\w+)$", 1))
 
 
