@@ -116,8 +116,6 @@ _event_filter("filter_eq", Filter("k", "eq", 42), f"{_NUM} AND CAST(k AS DOUBLE)
 _event_filter("filter_neq_missing", Filter("absent", "neq", 1), "true")
 _event_filter("filter_neq", Filter("k", "neq", 42), f"NOT coalesce({_NUM} AND CAST(k AS DOUBLE) = 42, false)")
 _event_filter("filter_range_number", Filter("k", "gte", 90), f"{_NUM} AND CAST(k AS DOUBLE) >= 90")
-_event_filter("filter_is_null", Filter("k", "isNull"), "k IS NULL")
-_event_filter("filter_eq_text", Filter("k", "eq", "42"), "t = 'VARCHAR' AND k = '42'")
 
 
 @query("SELECT 'part:' || p_partkey AS id FROM part WHERE p_brand > 'Brand#3' AND p_brand <= 'Brand#45'")
@@ -126,12 +124,6 @@ def filter_range_string(spark: SparkSession, d: str) -> DataFrame:
     return v.where(all_of([Filter("brand", "gt", "Brand#3"), Filter("brand", "lte", "Brand#45")], F.col("properties"))).select("id")
 
 
-@query("SELECT 'part:' || p_partkey AS id, p_type AS kind FROM part WHERE contains(lower(p_type), 'steel')")
-def filter_contains_ci(spark: SparkSession, d: str) -> DataFrame:
-    v = star_graph(spark, d, ("Part",), ("SUPPLIED_BY",)).vertices
-    return v.where(Filter("kind", "contains", "STEEL").on(F.col("properties"))).select("id", F.col("properties")["kind"]["s"].alias("kind"))
-
-
 @query("SELECT 'part:' || p_partkey AS id, 'Part' AS type, p_name AS label, p_brand || ' ' || p_type AS summary FROM part")
 def detail_brief(spark: SparkSession, d: str) -> DataFrame:
     return read.detail(star_graph(spark, d, ("Part",), ("SUPPLIED_BY",)).vertices, "brief")
@@ -165,11 +157,6 @@ def induced_subgraph(spark: SparkSession, d: str) -> DataFrame:
     return read.induced(g, g.vertices.where(F.col("type").isin("Nation", "Supplier"))).select("id")
 
 
-@query("SELECT 'part:' || p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
-def uncovered_vertices(spark: SparkSession, d: str) -> DataFrame:
-    return read.without_inbound(star_graph(spark, d, ("Part",), ("CONTAINS",)), ["Part"]).select("id")
-
-
 # --- aggregates ---------------------------------------------------------------------------------------------------
 
 

@@ -179,14 +179,6 @@ def validate_relationships(spark: SparkSession, d: str) -> DataFrame:
     return vocabulary.audit_relationships(Graph(kept, g.edges), VOCABULARY).withColumn("id", F.regexp_replace("id", "^IN_NATION:s:(supplier:)?", "IN_NATION:s:supplier:"))
 
 
-@query("""WITH a AS (SELECT p_type AS type, min(p_size) AS v FROM part WHERE p_partkey % 2 = 0 GROUP BY p_type), b AS (SELECT p_type AS type, min(p_size) AS v FROM part WHERE p_partkey % 3 = 0 GROUP BY p_type)
-SELECT coalesce(a.type, b.type) AS type, CASE WHEN a.type IS NULL THEN 'added' WHEN b.type IS NULL THEN 'removed' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.type = b.type WHERE a.v IS DISTINCT FROM b.v""")
-def vocabulary_diff(spark: SparkSession, d: str) -> DataFrame:
-    p = _table(spark, d, "part")
-    side = lambda n: p.where(F.col("p_partkey") % n == 0).groupBy(F.col("p_type").alias("type")).agg(F.min("p_size").alias("v"))
-    return vocabulary.diff(side(2), side(3))
-
-
 @query("""SELECT 'Part' AS type, name, kind, CAST(count(*) AS BIGINT) AS n FROM (
 SELECT 'brand' AS name, 'string' AS kind FROM part WHERE p_partkey % 17 <> 0 AND p_partkey % 7 <> 0 UNION ALL SELECT 'size', 'mixed' FROM part WHERE p_partkey % 17 <> 0 UNION ALL SELECT 'colour', 'string' FROM part WHERE p_partkey % 17 <> 0 AND p_partkey % 13 = 0) GROUP BY ALL""")
 def infer_vocabulary(spark: SparkSession, d: str) -> DataFrame:
@@ -409,9 +401,9 @@ def source_lines(spark: SparkSession, d: str) -> DataFrame:
     return lines.read_lines(_table(spark, d, "documents"), 2, 4)
 
 
-@query("SELECT doc_id, CAST(i AS INTEGER) AS line, string_split(text, chr(10))[i] AS content FROM documents, range(1, 5000) r(i) WHERE i <= len(string_split(text, chr(10))) AND regexp_matches(string_split(text, chr(10))[i], '(?i)stand\\w*\\.')")
+@query("SELECT doc_id, CAST(i AS INTEGER) AS line, string_split(text, chr(10))[i] AS content FROM documents, range(1, 5000) r(i) WHERE i <= len(string_split(text, chr(10))) AND regexp_matches(string_split(text, chr(10))[i], '(?i)tion\\w*\\.')")
 def source_grep(spark: SparkSession, d: str) -> DataFrame:
-    return lines.grep(_table(spark, d, "documents"), r"stand\w*\.").select("doc_id", "line", "content")
+    return lines.grep(_table(spark, d, "documents"), r"tion\w*\.").select("doc_id", "line", "content")
 
 
 @query("SELECT doc_id, 0 AS tables, 'clean' AS verdict, '' AS reasons FROM documents")

@@ -275,7 +275,7 @@ def filter_is_not_null(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT 'part:' || p_partkey AS id, CASE WHEN p_size % 5 = 0 THEN 'absent' ELSE 'null' END AS how FROM part WHERE p_size % 5 < 2")
-def filter_is_null_kinds(spark: SparkSession, d: str) -> DataFrame:
+def filter_is_null(spark: SparkSession, d: str) -> DataFrame:
     """A missing key and an explicit null are both null."""
     k = F.col("p_size") % 5
     p = _table(spark, d, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.when(k == 0, F.create_map().cast(BAG)).when(k == 1, bag(k=literal(None)).cast(BAG)).otherwise(bag(k=text(F.col("p_type"))).cast(BAG)).alias("properties"))
@@ -283,13 +283,13 @@ def filter_is_null_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT 'part:' || p_partkey AS id FROM part WHERE contains(lower(p_type), 'ro')")
-def filter_contains_part(spark: SparkSession, d: str) -> DataFrame:
+def filter_contains_ci(spark: SparkSession, d: str) -> DataFrame:
     v = star_graph(spark, d, ("Part",), ("SUPPLIED_BY",)).vertices
     return v.where(Filter("kind", "contains", "Ro").on(F.col("properties"))).select("id")
 
 
 @query("SELECT 'part:' || p_partkey AS id FROM part WHERE CAST(p_size AS VARCHAR) = '7'")
-def filter_eq_text_only(spark: SparkSession, d: str) -> DataFrame:
+def filter_eq_text(spark: SparkSession, d: str) -> DataFrame:
     """The text "7" in every size's place: the number 7 is no match for it, the text is."""
     both = _table(spark, d, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), bag(t=text(F.col("p_size").cast("string")), n=number(F.col("p_size"))).cast(BAG).alias("properties"))
     p = F.col("properties")
@@ -298,14 +298,14 @@ def filter_eq_text_only(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT 'order:' || o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
-def uncovered_orders(spark: SparkSession, d: str) -> DataFrame:
+def uncovered_vertices(spark: SparkSession, d: str) -> DataFrame:
     """Orders that no returned line points to."""
     back = _table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.lit("RETURNS").alias("type"), F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("target_id"))
     return read.without_inbound(Graph(star_graph(spark, d, ("Order",), ("PLACED",)).vertices, back), ["Order"], ["RETURNS"]).select("id")
 
 
 @query("SELECT p_type AS type, CASE WHEN p_type IN ('LARGE', 'MEDIUM') THEN 'removed' ELSE 'modified' END AS change FROM (SELECT DISTINCT p_type FROM part) WHERE p_type NOT IN ('PROMO') UNION ALL SELECT 'NEW', 'added'")
-def vocabulary_changes(spark: SparkSession, d: str) -> DataFrame:
+def vocabulary_diff(spark: SparkSession, d: str) -> DataFrame:
     old = _table(spark, d, "part").select(F.col("p_type").alias("type")).distinct().withColumn("version", F.lit(1))
     new = old.where("type not in ('LARGE', 'MEDIUM')").withColumn("version", F.when(F.col("type") == "PROMO", 1).otherwise(2)).unionByName(_rows(spark, "type string, version int", ("NEW", 1)))
     return vocabulary.diff(old, new)
@@ -400,9 +400,12 @@ def paths_strict_ends(spark: SparkSession, d: str) -> DataFrame:
     return n(False).select(F.lit("open").alias("mode"), "n").unionByName(n(True).select(F.lit("strict").alias("mode"), "n"))
 
 
-@query(f"{_VE}, g AS (SELECT id, count(*) AS degree FROM (SELECT source_id AS id FROM E UNION ALL SELECT target_id FROM E) GROUP BY id ORDER BY degree DESC, id LIMIT 25) SELECT id FROM E WHERE source_id IN (SELECT id FROM g) AND target_id IN (SELECT id FROM g)")
+_NEAR = "SELECT * FROM E WHERE type IN ('IN_REGION', 'TRADES_WITH', 'IN_NATION')"
+
+
+@query(f"{_VE}, n AS ({_NEAR}), g AS (SELECT id, count(*) AS degree FROM (SELECT source_id AS id FROM n UNION ALL SELECT target_id FROM n) GROUP BY id ORDER BY degree DESC, id LIMIT 25) SELECT id FROM n WHERE source_id IN (SELECT id FROM g) AND target_id IN (SELECT id FROM g)")
 def hub_edges(spark: SparkSession, d: str) -> DataFrame:
-    return aggregate.hub_graph(star_graph(spark, d), 25).edges.select("id")
+    return aggregate.hub_graph(star_graph(spark, d, edge_types=("IN_REGION", "TRADES_WITH", "IN_NATION")), 25).edges.select("id")
 
 
 @query("""SELECT 'order:' || o_orderkey AS object_id, strftime(o_orderdate, '%Y-%m-%d') AS "at" FROM orders WHERE o_custkey = 7 ORDER BY "at" DESC, object_id LIMIT 5 OFFSET 1""")
