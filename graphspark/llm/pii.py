@@ -414,7 +414,7 @@ def labelled_windows(n: int, seed: int = 11, carriers: list[str] | None = None,
 
 
 @functools.lru_cache(maxsize=4)
-def trained_tagger(windows: int = 5000, epochs: int = 9, seed: int = 11, carriers: tuple[str, ...] = ()) -> Tagger:
+def trained_tagger(windows: int = 7000, epochs: int = 10, seed: int = 11, carriers: tuple[str, ...] = ()) -> Tagger:
     """The tagger, fitted on `windows` labelled windows (the bound of its training sample)."""
     tagger = Tagger()
     tagger.fit(*labelled_windows(windows, seed, list(carriers)), epochs)
@@ -518,7 +518,7 @@ def all_spans(texts: list[str], tagger: Tagger, margin: float = MARGIN) -> list[
     return out
 
 
-def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", windows: int = 5000, carriers: int = 2000, margin: float = MARGIN) -> DataFrame:
+def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", windows: int = 7000, carriers: int = 2000, margin: float = MARGIN) -> DataFrame:
     """doc_id, spans array<struct<start, end, kind, added>> of each row; offsets in code points, end exclusive.
 
     The tagger is trained on `windows` windows over prose of `carriers` rows, and goes to the executors as a broadcast
