@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of similar documents only the one with the smallest id stays."""
-    return jaccard.keep_one(docs, n=4, percent=85)
+    """Of each class of documents that share 80 % of their five-word shingles only the one with the smallest id stays."""
+    return jaccard.keep_one(docs, n=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
