@@ -18,7 +18,7 @@ def test_stages_take_effect_on_all_that_was_kept(spark):
         if name == "quality rules":
             assert sorted(ids) == sorted(r.doc_id for r in quality.judge(frame).collect() if r.kept)
         elif name == "n-gram jaccard join":
-            classes = jaccard.brute_classes(before)
+            classes = jaccard.brute_classes(before, 5, 80)
             assert sorted(ids) == sorted(i for i, c in classes.items() if i == c)
         elif name == "benchmark decontamination":
             bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
