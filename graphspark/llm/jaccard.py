@@ -114,9 +114,10 @@ class Bands:
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
     def width(self, size: int) -> int:
-        """Bits of the sketch: twelve times the difference that can occur or more, a power of two, so few collide."""
+        """Bits of the sketch: four times the difference that can occur or more, a power of two. Unlike sets of k elements
+        that may differ then lie at about twice k; more bits would only cost more in each signature's rows."""
         k = self.most(size, size * 100 // self.percent + 1)
-        return 1 << min(16, max(7, math.ceil(math.log2(12 * k + 1))))
+        return 1 << min(16, max(7, math.ceil(math.log2(4 * k + 1))))
 
     def sketch(self, x: np.ndarray) -> np.ndarray:
         """One bit for each element, combined by XOR, as 64-bit words."""
