@@ -13,8 +13,10 @@ Sets that are equal are grouped first by a 128-bit digest and take part once. Ca
 first compared with the signature's smallest id only, then classes by their first and last ids; what is then not yet
 in one class is compared pair by pair, in
 blocks of bounded size, behind an exact filter: the XOR of one bit per element gives two bit strings whose distance
-never exceeds the sets' difference. No pair that the signatures give is left out: there is no cap on buckets or
-partners. Each link is verified on the sets of 64-bit hashes of the n-grams.
+never exceeds the sets' difference. Blocks in which more pairs pass the filter than they have members tell no pairs, but
+which members hang together by them; these clusters are compared once more with their sets at hand, and only links that
+join two classes come out. So rows stay in proportion to members. No pair that the signatures give is left out: there is
+no cap on buckets or partners. Each link is verified on the sets of 64-bit hashes of the n-grams.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ _REMEMBERED = 60_000
 ROUNDS = 1
 #: Rows of a block in the comparison of all pairs of a bucket.
 BLOCK = 2048
+#: Elements of the sets of a block of a cluster, about.
+ELEMENTS = 2_000_000
 
 
 class _Words(dict):
@@ -228,9 +232,8 @@ def _prefiltered(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that do link. Sets are made again for the ids in pairs only."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def _sets(ids: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """doc_id and set (as bytes) of these ids, made again from their texts."""
     # an id names one text; repeated rows of it would only repeat the comparison
     wanted = docs.join(size_checked(ids), "doc_id", "left_semi")
 
@@ -238,7 +241,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
         for b in batches:
             yield _rows(["doc_id", "set"], b.column("doc_id"), pa.array([shingles(t, n).tobytes() for t in texts_of(b)], pa.binary()))
 
-    made = wanted.mapInArrow(make, "doc_id long, set binary").dropDuplicates(["doc_id"])
+    return wanted.mapInArrow(make, "doc_id long, set binary").dropDuplicates(["doc_id"])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that do link. Sets are made again for the ids in pairs only."""
+    made = _sets(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), docs, n)
     both = pairs.join(made.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b").join(made.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,8 +298,17 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _by_blocks(block: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of a task's lower block with the rows it is to be compared with."""
+    left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    same = block.min() == block.max()
+    for i in left:
+        yield i, right[right > i] if same else right
+
+
 def _block_pairs(bands: Bands):  # noqa: ANN202
-    """For the rows of a pair of blocks: the pairs of different classes that size and sketch allow."""
+    """For the rows of a pair of blocks: the pairs of different classes that size and sketch allow. If they are more than
+    the rows, instead of them (dense 1) each row that is in one with the first row it hangs together with by them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -300,11 +317,11 @@ def _block_pairs(bands: Bands):  # noqa: ANN202
             n += len(a)
             if n > 100_000:
                 a = np.unique(np.concatenate(held), axis=0)
-                yield _rows(["a", "b"], a[:, 0], a[:, 1])
+                yield _rows(["a", "b", "dense"], a[:, 0], a[:, 1], a[:, 2])
                 held, n = [], 0
         if held:
             a = np.unique(np.concatenate(held), axis=0)
-            yield _rows(["a", "b"], a[:, 0], a[:, 1])
+            yield _rows(["a", "b", "dense"], a[:, 0], a[:, 1], a[:, 2])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for t in _grouped(batches, "task"):
@@ -314,24 +331,68 @@ def _block_pairs(bands: Bands):  # noqa: ANN202
             raw = [np.frombuffer(s, np.uint64) for s in t.column("sketch").to_pylist()]
             low = min(map(len, raw))
             bits = np.array([folded(s, low) for s in raw])
-            left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
-            same = block.min() == block.max()
-            out = []
-            for i in left:
-                js = right[right > i] if same else right
-                js = js[(comp[js] != comp[i])]
+            out, tied, dense = [], np.arange(len(doc)), False
+            for i, js in _by_blocks(block):
+                js = js[comp[js] != comp[i]]
                 js = js[100 * np.minimum(size[js], size[i]) >= bands.percent * np.maximum(size[js], size[i])]
+                if dense:
+                    js = js[tied[js] != tied[i]]
                 if len(js):
                     limit = (100 - bands.percent) * (size[js] + size[i]) // (100 + bands.percent)
                     js = js[np.bitwise_count(bits[js] ^ bits[i]).sum(1) <= limit]
                     js = [j for j in js if len(raw[i]) == low or len(raw[j]) == low or _close(bands, [raw[i].tobytes()], [raw[j].tobytes()], size[i : i + 1], size[j : j + 1])[0]]
-                    out += [(min(doc[i], doc[j]), max(doc[i], doc[j])) for j in js]
+                if len(js):
+                    meet = np.unique(tied[[i, *js]])
+                    tied[np.isin(tied, meet)] = meet[0]
+                    out += [] if dense else [(min(doc[i], doc[j]), max(doc[i], doc[j]), 0) for j in js]
+                    dense = dense or len(out) > len(doc)
+            if dense:
+                out = [(min(doc[i], doc[k]), max(doc[i], doc[k]), 1) for k, i in enumerate(tied) if i != k]
             if out:
                 yield np.array(out)
 
     return run
 
 
+def _block_links(bands: Bands):  # noqa: ANN202
+    """For the rows of a pair of blocks of a cluster: verified links, each of which joins two classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _grouped(batches, "task"):
+            doc, root, block = t.column("doc_id").to_numpy(), t.column("comp").to_numpy().copy(), t.column("block").to_numpy()
+            if len(doc) < 2 or (root == root[0]).all():
+                continue
+            sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+            size = np.array([len(x) for x in sets])
+            raw = [bands.sketch(x) for x in sets]
+            low = min(map(len, raw))
+            bits = np.array([folded(s, low) for s in raw])
+            names, number = np.unique(np.concatenate(sets), return_inverse=True)
+            held, out = np.split(number, np.cumsum(size)[:-1]), []
+            there = np.zeros(len(names), bool)
+            for i, js in _by_blocks(block):
+                js = js[root[js] != root[i]]
+                js = js[100 * np.minimum(size[js], size[i]) >= bands.percent * np.maximum(size[js], size[i])]
+                js = js[np.bitwise_count(bits[js] ^ bits[i]).sum(1) <= (100 - bands.percent) * (size[js] + size[i]) // (100 + bands.percent)]
+                there[held[i]] = True
+                for lo in range(0, len(js), 64):
+                    part = js[lo : lo + 64]
+                    part = part[root[part] != root[i]]
+                    if not len(part):
+                        continue
+                    both = np.add.reduceat(there[np.concatenate([held[j] for j in part])], np.cumsum(size[part]) - size[part], dtype=np.int64)
+                    for j in part[100 * both >= bands.percent * (size[i] + size[part] - both)]:
+                        if root[j] != root[i]:
+                            out.append((min(doc[i], doc[j]), max(doc[i], doc[j])))
+                            root[root == root[j]] = root[i]
+                there[held[i]] = False
+            if out:
+                a = np.array(out)
+                yield _rows(["a", "b"], a[:, 0], a[:, 1])
+
+    return run
+
+
 def classes(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each row.
 
@@ -361,7 +422,11 @@ def classes(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id"
         more = stored(_verified(stored(_prefiltered(_between(stars, tied), sketches, bands), "pairs"), docs, n, percent), "links")
         first = first.union(more)
         tied = components(first)
-    links = first.union(stored(_verified(_rest(stars, sketches, tied, bands, many), docs, n, percent), "links"))
+    rest = _rest(stars, sketches, tied, bands, many)
+    links = first.union(stored(_verified(rest.where("dense = 0").select("a", "b"), docs, n, percent), "links"))
+    dense = rest.where("dense = 1").select("a", "b")
+    if not dense.isEmpty():
+        links = links.union(_within(dense, sketches, tied, docs, n, bands, many))
     tied = components(links)
     by_rep = groups.join(tied.withColumnRenamed("doc_id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     return table.select("doc_id", "digest", F.col("size").alias("n_shingles")).join(by_rep, "digest", "left").select(
@@ -385,17 +450,36 @@ def _between(stars: DataFrame, tied: DataFrame) -> DataFrame:
 
 
 def _rest(stars: DataFrame, sketches: DataFrame, tied: DataFrame, bands: Bands, many: int) -> DataFrame:
-    """Pairs of different classes that share a signature and weren't compared as a star, after the filter."""
+    """Pairs of different classes that share a signature and weren't compared as a star, after the filter (dense 0), and
+    ties of members of dense blocks (dense 1)."""
     members = _members(stars, tied)
     # a signature of two ids has no pair besides its star
     alive = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("m > 2 and lo <> hi")
     alive = alive.select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("g"))
     rows = members.join(alive, "sig").join(sketches, "doc_id")
+    rows = _dealt(rows, "sig").select("task", "doc_id", "comp", "size", "sketch", "block").repartition(many, "task").sortWithinPartitions("task", "doc_id")
+    return stored(rows.mapInArrow(_block_pairs(bands), "a long, b long, dense long").distinct(), "pairs")
+
+
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows (doc_id, g) of each key dealt into g blocks: a row for each pair of blocks that its own is in."""
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("g").cast("long")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    rows = rows.withColumn("task", F.xxhash64("sig", F.least("block", "other"), F.greatest("block", "other")))
-    rows = rows.select("task", "doc_id", "comp", "size", "sketch", "block").repartition(many, "task").sortWithinPartitions("task", "doc_id")
-    return stored(rows.mapInArrow(_block_pairs(bands), "a long, b long").distinct(), "pairs")
+    return rows.withColumn("task", F.xxhash64(key, F.least("block", "other"), F.greatest("block", "other")))
+
+
+def _within(dense: DataFrame, sketches: DataFrame, tied: DataFrame, docs: DataFrame, n: int, bands: Bands, many: int) -> DataFrame:
+    """Links of the clusters that the dense blocks make, each of which joins two classes in its pair of blocks."""
+    found = components(dense, "clusters")
+    members = found.union(found.select(F.col("component").alias("doc_id"), "component").distinct()).withColumnRenamed("component", "cluster")
+    members = stored(members.join(sketches.select("doc_id", "size"), "doc_id").join(tied, "doc_id", "left").select("cluster", "doc_id", "size", F.coalesce("component", "doc_id").alias("comp")), "members")
+    g = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / ELEMENTS)).cast("int").alias("g")
+    alive = members.groupBy("cluster").agg(g, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("cluster", "g")
+    rows = _dealt(members.join(alive, "cluster"), "cluster").join(_sets(members.select("doc_id"), docs, n), "doc_id")
+    rows = rows.select("task", "doc_id", "comp", "set", "block").repartition(many, "task").sortWithinPartitions("task", "doc_id")
+    return stored(rows.mapInArrow(_block_links(bands), "a long, b long"), "links")
+
+
 
 
 def keep_one(df: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphspark.llm import jaccard
@@ -58,6 +59,35 @@ def test_small_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == jaccard.brute_classes(rows)
 
 
+def close_texts(count=200):
+    """Texts of 100 words, 91 of them common to all: most pairs pass the sketches and none links, but for the first 40
+    and every third later one, which hold three or more words of the one before."""
+    common, rows = [f"c{k}" for k in range(91)], []
+    for i in range(count):
+        own = [f"w{i}-{k}" for k in range(9)]
+        if 0 < i < 40 or i % 3 == 0:
+            own[:3] = [f"w{i - 1}-{k}" for k in range(5, 8)]
+        rows.append((i * 7 + 1, " ".join(common + own)))
+    return rows
+
+
+def test_dense_blocks_make_no_more_rows_than_members():
+    bands, rows = jaccard.Bands(85), close_texts()
+    sets = [jaccard.shingles(t, 1) for _, t in rows]
+    n, ids = len(rows), [i for i, _ in rows]
+    batch = pa.RecordBatch.from_pydict({"task": [1] * n, "doc_id": ids, "comp": ids, "size": [len(x) for x in sets], "sketch": [bands.sketch(x).tobytes() for x in sets], "block": [0] * n})
+    assert 1 <= sum(b.num_rows for b in jaccard._block_pairs(bands)(iter([batch]))) <= n
+
+
+@pytest.mark.parametrize(("block", "elements"), [(2048, 2_000_000), (30, 2_000_000), (2048, 3000)])
+def test_classes_of_dense_blocks(spark, monkeypatch, block, elements):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "ELEMENTS", elements, raising=False)
+    rows = close_texts()
+    got = {r.doc_id: r.component_id for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), n=1).collect()}
+    assert got == jaccard.brute_classes(rows, 1) and 50 < len(set(got.values())) < 150
+
+
 def test_components_of_a_chain(spark):
     n = 60
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101)], "a long, b long")
