@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphspark.functions.names import slug
-from graphspark.functions.similarity import jaro_winkler
+from graphspark.functions.similarity import jaro_winkler, jaro_winkler_of
 from graphspark.operators.extraction import aggregated, earliest_wins, in_order
 from graphspark.plans.scratch import size_checked, stored
 
 FUZZY = 0.9
+#: Rows and entries of a type that are compared in one task.
+BLOCK = 2048
 
 
 def names_of(rows: DataFrame) -> DataFrame:
@@ -90,10 +93,7 @@ def match_registry(rows: DataFrame, registry: DataFrame, threshold: float = FUZZ
     """rows (key, type, label) with entry, matched_by and confidence of the registry (id, type, label, aliases): by
     slug (1.0), then alias (0.9), then Jaro-Winkler within the type; null if nothing matches.
 
-    The fuzzy stage compares within a type and near bands of lengths, of factor 2. With the boost for a common prefix
-    the Jaro part must reach (threshold - 0.4) / 0.6, and it is at most (2 + r) / 3 for a ratio r of lengths, so pairs
-    of a ratio under 5 * threshold - 4 (a half for 0.9) cannot match and are left out."""
-    ratio = 5 * threshold - 4
+    The fuzzy stage compares the labels of a type block by block, and all of them by a bound first (_best_entries())."""
     rows = rows.select("key", "type", "label", F.lower("label").alias("low"), slug(F.col("label")).alias("slug"))
     reg = registry.select(F.col("id").alias("entry"), "type", F.lower("label").alias("entry_low"), slug(F.col("label")).alias("slug"), "aliases", "label")
     first = lambda f, c, how: f.groupBy("key").agg(F.min("entry").alias("entry"), F.max(c).alias("confidence")).withColumn("matched_by", F.lit(how))
@@ -102,18 +102,73 @@ def match_registry(rows: DataFrame, registry: DataFrame, threshold: float = FUZZ
     names = names_of(reg).select("type", "entry", F.col("name").alias("low"))
     by_alias = first(rest.join(names, ["type", "low"]).withColumn("c", F.lit(0.9)), "c", "alias")
     rest = rest.join(by_alias.select("key"), "key", "left_anti")
-    # the number of binary digits of the length, or one band where no ratio is ruled out
-    band = lambda c: F.length(F.bin(F.greatest(F.length(c), F.lit(1)).cast("long"))) if ratio > 0 else F.lit(0)
-    reach = math.ceil(-math.log2(ratio)) if 0 < ratio < 1 else 0
-    left = rest.withColumn("band", F.explode(F.array(*[band("low") + d for d in range(-reach, reach + 1)])))
-    right = reg.withColumn("band", band("entry_low"))
-    near = F.least(F.length("low"), F.length("entry_low")) >= (ratio - 1e-9) * F.greatest(F.length("low"), F.length("entry_low"))
-    scored = left.join(right.select("type", "band", "entry", "entry_low"), ["type", "band"]).where(near).withColumn("c", jaro_winkler("low", "entry_low")).where(F.col("c") >= threshold)
-    by_jw = scored.groupBy("key").agg(F.min_by("entry", F.struct(-F.col("c"), F.col("entry"))).alias("entry"), F.max("c").alias("confidence")).withColumn("matched_by", F.lit("fuzzy"))
+    by_jw = _fuzzy(rest.select("key", "type", "low"), reg.select("entry", "type", "entry_low"), threshold)
+    by_jw = by_jw.groupBy("key").agg(F.min_by("entry", F.struct(-F.col("c"), F.col("entry"))).alias("entry"), F.max("c").alias("confidence")).withColumn("matched_by", F.lit("fuzzy"))
     found = by_slug.unionByName(by_alias).unionByName(by_jw)
     return rows.select("key", "type", "label").join(found, "key", "left")
 
 
+def _fuzzy(rows: DataFrame, reg: DataFrame, threshold: float) -> DataFrame:
+    """key, entry and c: for each row (key, type, low) the best of each block of the type's entries (entry, type,
+    entry_low)."""
+    rows, reg = rows.where("low is not null"), reg.where("entry_low is not null")
+    blocks = lambda df, n: df.groupBy("type").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(n))
+    both = lambda: blocks(rows, "nl").join(blocks(reg, "nr"), "type")  # noqa: E731  anew for each side: cogroup tells them apart
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = rows.join(both(), "type").withColumn("l", F.pmod(F.xxhash64("key", "low"), "nl")).withColumn("r", every("nr"))
+    right = reg.join(both(), "type").withColumn("r", F.pmod(F.xxhash64("entry", "entry_low"), "nr")).withColumn("l", every("nl"))
+    kinds = rows.schema["key"].dataType.simpleString(), reg.schema["entry"].dataType.simpleString()
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        y = y.sort_by("entry")  # the smallest id goes first among equal ones
+        best = _best_entries(x.column("low").to_pylist(), y.column("entry_low").to_pylist(), threshold)
+        at = [i for i, b in enumerate(best) if b is not None]
+        return pa.table({"key": x.column("key").take(pa.array(at, pa.int64())), "entry": y.column("entry").take(pa.array([best[i][0] for i in at], pa.int64())), "c": pa.array([best[i][1] for i in at], pa.float64())})
+
+    # a block's work is in comparisons, not bytes: partitions of a given number are not coalesced
+    many = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = (x.repartition(many, "type", "l", "r") for x in (left, right))
+    return left.groupBy("type", "l", "r").cogroup(right.groupBy("type", "l", "r")).applyInArrow(run, f"key {kinds[0]}, entry {kinds[1]}, c double")
+
+
+def _best_entries(names: list[str], entries: list[str], threshold: float) -> list[tuple[int, float] | None]:
+    """For each name the place of the entry most like it by Jaro-Winkler, the first of equal ones, and its score, or None
+    if none reaches the threshold.
+
+    No more characters match than both hold, with repeats, so (m / |a| + m / |b| + 1) / 3 for that number m bounds the
+    Jaro part, and the common prefix is known. Entries are compared from the largest bound down, until no bound reaches
+    the best score so far."""
+    if not names or not entries:
+        return [None] * len(names)
+    code = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) for t in (*names, *entries)]
+    length = np.array([len(c) for c in code])
+    _, rank = np.unique(np.concatenate(code), return_inverse=True)
+    # beyond 64 characters some share a column, which only lifts the bound
+    held = np.bincount(np.repeat(np.arange(len(code)), length) * 64 + rank % 64, minlength=64 * len(code)).reshape(-1, 64)
+    held = held[:, held.any(0)].astype(np.uint8 if length.max() < 256 else np.int32)  # sums stay below a length
+    start = np.full((len(code), 4), -1)
+    start[len(names) :] = -2
+    for i, c in enumerate(code):
+        start[i, : min(4, len(c))] = c[:4]
+    own, lengths, theirs = held[len(names) :].T.copy(), length[len(names) :], np.maximum(length[len(names) :], 1)
+    starts, kind = np.unique(start[len(names) :], axis=0, return_inverse=True)
+    out: list[tuple[int, float] | None] = []
+    for i, name in enumerate(names):
+        m = np.minimum(held[i][:, None], own).sum(0, dtype=held.dtype)
+        jaro = np.where((length[i] == 0) & (lengths == 0), 1.0, (m / max(length[i], 1) + m / theirs + 1) / 3)
+        bound = jaro + (np.cumprod(starts == start[i], axis=1).sum(1) * 0.1)[kind] * (1 - jaro)
+        likely = np.flatnonzero(bound >= threshold - 1e-9)
+        best = None
+        for j in likely[np.argsort(-bound[likely], kind="stable")].tolist():
+            if best is not None and bound[j] < best[1] - 1e-9:
+                break
+            c = jaro_winkler_of(name, entries[j])
+            if c >= threshold and (best is None or c > best[1] or c == best[1] and j < best[0]):
+                best = j, c
+        out.append(best)
+    return out
+
+
 def resolve_relationships(relationships: DataFrame, entities: DataFrame, allowed: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] | None = None) -> DataFrame:
     """relationships (ord, type, source_label, target_label, properties) with source_id and target_id of entities (id,
     type, label, aliases), null if unresolved. A label may name several entities: one of a type that the relationship

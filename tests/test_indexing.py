@@ -142,6 +142,35 @@ def test_registry_reaches_half_the_length(spark):
         assert got == {k for k, (n, m) in enumerate(pairs) if jaro_winkler_of(word[:n], word[:m]) >= threshold} | {-1}
 
 
+def test_few_pairs_are_compared_in_full(monkeypatch):
+    import random
+
+    from graphspark.functions.similarity import jaro_winkler_of
+
+    r, calls = random.Random(4), []
+    words = ["large ring", "hot bolt", "blue ring", "old plate", "cold plate", "é grün", "αβγ"]
+    entries = [f"{r.choice(words)} {r.randrange(3000)}" for _ in range(500)] + ["", "a", "a"]
+    names = [r.choice([e + "x", e[::-1], e[1:], "alias-" + e[-2:], e]) for e in r.sample(entries, 120)] + ["", "a"]
+    monkeypatch.setattr(resolve, "jaro_winkler_of", lambda a, b: calls.append(1) or jaro_winkler_of(a, b))
+    for threshold in (0.9, 0.6):
+        calls.clear()
+        got = resolve._best_entries(names, entries, threshold)
+        for name, b in zip(names, got):
+            c, j = max((jaro_winkler_of(name, e), -j) for j, e in enumerate(entries))
+            assert b == ((-j, c) if c >= threshold else None)
+        assert len(calls) < len(names) * len(entries) / 5
+
+
+def test_registry_in_blocks(spark, monkeypatch):
+    reg = spark.createDataFrame([(str(i), f"T{i % 2}", f"engine part {i}", []) for i in range(40)] + [("x", "T0", None, [])], "id string, type string, label string, aliases array<string>")
+    rows = spark.createDataFrame([(i, f"T{i % 2}", f"engine part {i}x") for i in range(50)] + [(99, "T0", None), (98, "none", "engine")], "key int, type string, label string")
+    seen = lambda: sorted(map(tuple, resolve.match_registry(rows, reg).select("key", "entry", "confidence").collect()), key=str)
+    whole = seen()
+    assert len(whole) == 52 and sum(e is not None for _, e, _ in whole) == 50
+    monkeypatch.setattr(resolve, "BLOCK", 7, raising=False)
+    assert seen() == whole
+
+
 def test_registry_query_covers_all_parts(spark):
     from graphspark import catalogue
 
