@@ -202,14 +202,13 @@ class Tagger:
             self.p = {key: (x / (total - 3 * total // 4)).astype(np.float32) for key, x in mean.items()}
 
     def tables(self) -> tuple[dict, np.ndarray, np.ndarray]:
-        """What decoding needs of each direction, (gate inputs by character, recurrent weights, output weights), with the
-        sigmoid's factor put in; the transitions; and the transitions' gain at a start."""
-        h, dim, by = self.h, self.p["E"].shape[1], {}
+        """What decoding needs of each direction, (weights of a character's embedding, twice the state and a one; output
+        weights of twice the state), with the sigmoid's factor put in; the transitions; and their gain at a start."""
+        h, by = self.h, {}
         scale = np.repeat(np.float32([0.5, 0.5, 0.5, 1]), h)[:, None]
         for k, d in enumerate("fb"):
-            w = self.p[f"W{d}"]
-            inputs = scale * (self.p["E"] @ w[:dim] + self.p[f"g{d}"]).T
-            by[d] = np.ascontiguousarray(inputs), np.ascontiguousarray(scale * w[dim:].T), np.ascontiguousarray(self.p["V"][k * h : (k + 1) * h].T)
+            w = np.concatenate([self.p[f"W{d}"][:-h], 0.5 * self.p[f"W{d}"][-h:], self.p[f"g{d}"][None]]).T
+            by[d] = np.ascontiguousarray(scale * w), np.ascontiguousarray(0.5 * self.p["V"][k * h : (k + 1) * h].T)
         return by, self.p["T"] + self.barred, self.p["S"] + self.barred_start
 
     def fast_emissions(self, codes: np.ndarray) -> np.ndarray:
@@ -219,24 +218,27 @@ class Tagger:
         h, across = self.h, np.ascontiguousarray(codes.T)
         em = np.empty((steps, len(TAGS), n), np.float32)
         em[:] = self.p["c"][:, None]
-        gates, cell, state, new = (np.empty((k * h, n), np.float32) for k in (4, 1, 1, 1))
-        rec, part = np.empty_like(gates), np.empty((len(TAGS), n), np.float32)
+        gates, cell, new = (np.empty((k * h, n), np.float32) for k in (4, 1, 1))
+        # the embedding (fewer rows to gather than the gates have), the state and a one for the bias: one product
+        embedding = np.ascontiguousarray(self.p["E"].T)
+        dim = len(embedding)
+        given, part = np.ones((dim + h + 1, n), np.float32), np.empty((len(TAGS), n), np.float32)
+        letter, state = given[:dim], given[dim:-1]
         for d in "fb":
-            inputs, recurrent, out = by[d]
+            weights, out = by[d]
             cell[:] = 0
             state[:] = 0
             for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-                np.take(inputs, across[t], axis=1, out=gates, mode="clip")
-                np.matmul(recurrent, state, out=rec)
-                gates += rec
+                np.take(embedding, across[t], axis=1, out=letter, mode="clip")
+                np.matmul(weights, given, out=gates)
                 np.tanh(gates, out=gates)
-                sig = gates[: 3 * h]
-                sig *= 0.5
-                sig += 0.5
+                gates[: 3 * h] += 1  # twice the sigmoids; cell and state are held twofold, too
                 cell *= gates[h : 2 * h]
+                cell *= 0.5
                 np.multiply(gates[:h], gates[3 * h :], out=new)
                 cell += new
-                np.tanh(cell, out=new)
+                np.multiply(cell, 0.5, out=new)
+                np.tanh(new, out=new)
                 np.multiply(gates[2 * h : 3 * h], new, out=state)
                 np.matmul(out, state, out=part)
                 em[t] += part

@@ -71,6 +71,11 @@ def test_pruning_is_exact(tagger):
     assert [[x[:3] for x in w] for w in got] == [[x[:3] for x in w] for w in want] and sum(map(len, got)) > 50
 
 
+def test_emissions_are_those_of_the_plain_network(tagger):
+    codes, _ = pii.labelled_windows(50, seed=97)
+    assert np.abs(tagger.fast_emissions(codes) - tagger.emissions(codes)[0].transpose(1, 2, 0)).max() < 1e-3
+
+
 def test_held_out_documents(tagger):
     """Spans in notations that the patterns don't know, put into documents that training never saw."""
     rows = duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE length(text) > 200 ORDER BY doc_id LIMIT 250").fetchall()
