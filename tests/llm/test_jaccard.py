@@ -79,6 +79,16 @@ def test_dense_blocks_make_no_more_rows_than_members():
     assert 1 <= sum(b.num_rows for b in jaccard._block_pairs(bands)(iter([batch]))) <= n
 
 
+def test_dense_blocks_at_the_pipelines_threshold():
+    bands, sets = jaccard.Bands(80), [jaccard.shingles(t, 1) for _, t in close_texts()]
+    n = len(sets)
+    cols = {"task": [1] * n, "doc_id": list(range(n)), "comp": list(range(n)), "block": [0] * n}
+    batch = pa.RecordBatch.from_pydict(cols | {"size": [len(x) for x in sets], "sketch": [bands.sketch(x).tobytes() for x in sets]})
+    assert 1 <= sum(b.num_rows for b in jaccard._block_pairs(bands)(iter([batch]))) <= n
+    batch = pa.RecordBatch.from_pydict(cols | {"set": [x.tobytes() for x in sets]})
+    assert sum(b.num_rows for b in jaccard._block_links(bands)(iter([batch]))) == n - 1
+
+
 @pytest.mark.parametrize(("block", "elements"), [(2048, 2_000_000), (30, 2_000_000), (2048, 3000)])
 def test_classes_of_dense_blocks(spark, monkeypatch, block, elements):
     monkeypatch.setattr(jaccard, "BLOCK", block)
