@@ -41,6 +41,8 @@ ROUNDS = 1
 BLOCK = 2048
 #: Elements of the sets of a block of a cluster, about.
 ELEMENTS = 2_000_000
+#: Edges whose components one task may find; more are first cut by distributed rounds.
+SMALL = 500_000
 
 
 class _Words(dict):
@@ -257,13 +259,37 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     return both.mapInArrow(test, "a long, b long")
 
 
-def components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """doc_id and component (its smallest reachable id) of every id in edges (a, b).
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From all edges (u, v) of a task: doc_id and component of every id but those that are a component's smallest."""
+    held = [(np.asarray(b.column("u")), np.asarray(b.column("v"))) for b in batches if b.num_rows]
+    if not held:
+        return
+    ids, place = np.unique(np.concatenate([np.concatenate(side) for side in zip(*held)]), return_inverse=True)
+    root = np.arange(len(ids))
+    u, v = np.split(place, 2)
+    while len(u):  # a root goes below the smallest root that it meets
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while (root != (above := root[root])).any():
+            root = above
+        u, v = root[u], root[v]
+        u, v = u[u != v], v[u != v]
+    rest = np.flatnonzero(root != np.arange(len(ids)))
+    for lo in range(0, len(rest), 65536):
+        s = rest[lo : lo + 65536]
+        yield _rows(["doc_id", "component"], ids[s], ids[root[s]])
+
 
-    Large-star and small-star steps in turn: each id's neighbours are tied to the smallest one around, so a chain
-    of any length shrinks by half or more in each round, and no adjacency list is ever collected."""
-    edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), label)
-    while True:
+def components(edges: DataFrame, label: str = "components") -> DataFrame:
+    """doc_id and component (its smallest reachable id) of every id in edges (a, b) that is not itself a component's
+    smallest.
+
+    While there are more than SMALL edges, large-star and small-star steps in turn: each id's neighbours are tied to the
+    smallest one around, so a chain of any length shrinks by half or more in each round, and no adjacency list is ever
+    collected. At most SMALL edges are one task's, without a shuffle."""
+    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    if edges.count() > SMALL:
+        edges = stored(edges.distinct(), label)
+    while edges.count() > SMALL:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -273,6 +299,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         if new.count() == edges.count() and new.exceptAll(edges).isEmpty():
             return new.select(F.col("u").alias("doc_id"), F.col("v").alias("component"))
         edges = new
+    return stored(edges.coalesce(1).mapInArrow(_united, "doc_id long, component long"), label)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -418,11 +445,13 @@ def classes(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id"
     pairs = stars.select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct()
     first = stored(_verified(stored(_prefiltered(pairs, sketches, bands), "pairs"), docs, n, percent), "links")
     tied = components(first)
+    members = stars.select("sig", F.explode(F.array("centre", "doc")).alias("doc_id")).distinct()
     for _ in range(ROUNDS):
-        more = stored(_verified(stored(_prefiltered(_between(stars, tied), sketches, bands), "pairs"), docs, n, percent), "links")
+        members = _meeting(members, tied)
+        more = stored(_verified(stored(_prefiltered(_between(members), sketches, bands), "pairs"), docs, n, percent), "links")
         first = first.union(more)
         tied = components(first)
-    rest = _rest(stars, sketches, tied, bands, many)
+    rest = _rest(members, sketches, tied, bands, many)
     links = first.union(stored(_verified(rest.where("dense = 0").select("a", "b"), docs, n, percent), "links"))
     dense = rest.where("dense = 1").select("a", "b")
     if not dense.isEmpty():
@@ -434,25 +463,32 @@ def classes(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id"
     )
 
 
-def _members(stars: DataFrame, tied: DataFrame) -> DataFrame:
-    """sig, doc_id and comp (its class so far) of the ids that share a signature with another."""
-    members = stars.select("sig", F.col("centre").alias("doc_id")).distinct().union(stars.select("sig", F.col("doc").alias("doc_id"))).distinct()
-    return members.join(tied, "doc_id", "left").select("sig", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+def _named(members: DataFrame, tied: DataFrame) -> DataFrame:
+    """sig, doc_id and comp (its class so far) of members."""
+    return members.select("sig", "doc_id").join(size_checked(tied), "doc_id", "left").select("sig", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+
+
+def _meeting(members: DataFrame, tied: DataFrame) -> DataFrame:
+    """sig, doc_id, comp (its class so far) and first (the signature's smallest class) of the members of signatures in
+    which classes meet. Classes only grow, so no later step needs any other signature."""
+    members = _named(members, tied)
+    alive = members.groupBy("sig").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).where("first <> last").select("sig", "first")
+    return stored(members.join(alive, "sig"), "members")
 
 
-def _between(stars: DataFrame, tied: DataFrame) -> DataFrame:
+def _between(members: DataFrame) -> DataFrame:
     """Pairs of the first and last ids of the classes that meet in a signature: each class with the first one."""
-    ends = _members(stars, tied).groupBy("sig", "comp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    middle = ends.groupBy("sig").agg(F.min(F.struct("comp", "lo", "hi")).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    both = ends.join(middle, "sig").where("comp <> c.comp")
+    ends = members.groupBy("sig", "comp", "first").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    middle = ends.where("comp = first").select("sig", F.struct("lo", "hi").alias("c"))
+    both = ends.where("comp <> first").join(middle, "sig")
     pairs = both.select(F.explode(F.array(*[F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")) for x in ("c.lo", "c.hi") for y in ("lo", "hi")])).alias("p"))
     return pairs.select("p.a", "p.b").distinct()
 
 
-def _rest(stars: DataFrame, sketches: DataFrame, tied: DataFrame, bands: Bands, many: int) -> DataFrame:
+def _rest(members: DataFrame, sketches: DataFrame, tied: DataFrame, bands: Bands, many: int) -> DataFrame:
     """Pairs of different classes that share a signature and weren't compared as a star, after the filter (dense 0), and
     ties of members of dense blocks (dense 1)."""
-    members = _members(stars, tied)
+    members = _named(members, tied)
     # a signature of two ids has no pair besides its star
     alive = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("m > 2 and lo <> hi")
     alive = alive.select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("g"))

@@ -105,6 +105,48 @@ def test_components_of_a_chain(spark):
     assert all(got[i] == 0 for i in range(1, n + 1)) and got[101] == 100
 
 
+def test_components_of_a_small_table_take_no_shuffle(spark, monkeypatch):
+    written, stored = [], jaccard.stored
+
+    def seen(df, label):
+        written.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, label)
+
+    monkeypatch.setattr(jaccard, "stored", seen)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    assert {r.component for r in jaccard.components(edges).collect()} == {0}
+    assert len(written) == 1 and "Exchange" not in written[0]
+
+
+@pytest.mark.parametrize("small", [0, 20, 500_000])
+def test_components_of_any_size(spark, monkeypatch, small):
+    monkeypatch.setattr(jaccard, "SMALL", small, raising=False)
+    r = random.Random(5)
+    pairs = [(r.randrange(80), r.randrange(80)) for _ in range(60)] + [(7, 7), (200, 100), (100, 200), (200, 300)]
+    least = {v: v for p in pairs for v in p}
+    for _ in least:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    got = jaccard.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert sorted((x.doc_id, x.component) for x in got) == sorted((v, m) for v, m in least.items() if v != m)
+    assert jaccard.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_classes_with_distributed_components(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", 0, raising=False)
+    rows = corpus(6, 30)
+    got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == jaccard.brute_classes(rows)
+
+
+def test_only_signatures_where_classes_meet_are_kept(spark):
+    members = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (2, 12), (3, 12), (3, 13), (3, 14)], "sig long, doc_id long")
+    tied = spark.createDataFrame([(11, 10), (12, 10), (14, 13)], "doc_id long, component long")
+    kept = jaccard._meeting(members, tied)
+    assert sorted(tuple(r) for r in kept.select("sig", "doc_id", "comp", "first").collect()) == [(3, 12, 10, 10), (3, 13, 13, 10), (3, 14, 13, 10)]
+    assert sorted(tuple(r) for r in jaccard._between(kept).collect()) == [(12, 13), (12, 14)]
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(odd_docs).collect()]
     assert len(got) == 10
