@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphspark.functions.names import slug
-from graphspark.functions.similarity import jaro_winkler, jaro_winkler_of
+from graphspark.functions.similarity import MaskedTexts, jaro_winkler, jaro_winkler_of
 from graphspark.operators.extraction import aggregated, earliest_wins, in_order
-from graphspark.plans.scratch import size_checked, stored
+from graphspark.plans.scratch import BROADCAST_ROWS, size_checked, stored
 
 FUZZY = 0.9
-#: Rows and entries of a type that are compared in one task.
-BLOCK = 2048
+#: Rows and entries of a type that are compared in one task; in it, names at a time and entries with a bound in common.
+BLOCK, CHUNK, GROUP = 8192, 128, 8
 
 
 def names_of(rows: DataFrame) -> DataFrame:
@@ -93,30 +93,33 @@ def match_registry(rows: DataFrame, registry: DataFrame, threshold: float = FUZZ
     """rows (key, type, label) with entry, matched_by and confidence of the registry (id, type, label, aliases): by
     slug (1.0), then alias (0.9), then Jaro-Winkler within the type; null if nothing matches.
 
-    The fuzzy stage compares the labels of a type block by block, and all of them by a bound first (_best_entries())."""
+    The fuzzy stage compares the labels of a type block by block, and all of them by a bound first (_best_entries()).
+    Rows and registry may be large: their joins are marked as sort-merge joins, since Spark guesses sizes from files,
+    which are compressed, and would build broadcasts of millions of rows on the driver."""
     rows = rows.select("key", "type", "label", F.lower("label").alias("low"), slug(F.col("label")).alias("slug"))
     reg = registry.select(F.col("id").alias("entry"), "type", F.lower("label").alias("entry_low"), slug(F.col("label")).alias("slug"), "aliases", "label")
-    first = lambda f, c, how: f.groupBy("key").agg(F.min("entry").alias("entry"), F.max(c).alias("confidence")).withColumn("matched_by", F.lit(how))
-    by_slug = first(rows.join(reg.select("type", "slug", "entry"), ["type", "slug"]).withColumn("c", F.lit(1.0)), "c", "slug")
-    rest = rows.join(by_slug.select("key"), "key", "left_anti")
+    first = lambda f, c, how: f.groupBy("key").agg(F.min("entry").alias("entry")).select("key", "entry", F.lit(c).alias("confidence"), F.lit(how).alias("matched_by"))
+    least = lambda f, name: f.groupBy("type", name).agg(F.min("entry").alias("entry")).hint("merge")
+    without = lambda f, hits: f.join(hits.select("key").hint("merge"), "key", "left_anti")
+    by_slug = first(rows.join(least(reg, "slug"), ["type", "slug"]), 1.0, "slug")
     names = names_of(reg).select("type", "entry", F.col("name").alias("low"))
-    by_alias = first(rest.join(names, ["type", "low"]).withColumn("c", F.lit(0.9)), "c", "alias")
-    rest = rest.join(by_alias.select("key"), "key", "left_anti")
-    by_jw = _fuzzy(rest.select("key", "type", "low"), reg.select("entry", "type", "entry_low"), threshold)
+    by_alias = first(without(rows, by_slug).join(least(names, "low"), ["type", "low"]), 0.9, "alias")
+    exact = stored(by_slug.unionByName(by_alias), "registry-exact")
+    by_jw = _fuzzy(without(rows, exact).select("key", "type", "low"), reg.select("entry", "type", "entry_low"), threshold)
     by_jw = by_jw.groupBy("key").agg(F.min_by("entry", F.struct(-F.col("c"), F.col("entry"))).alias("entry"), F.max("c").alias("confidence")).withColumn("matched_by", F.lit("fuzzy"))
-    found = by_slug.unionByName(by_alias).unionByName(by_jw)
-    return rows.select("key", "type", "label").join(found, "key", "left")
+    return rows.select("key", "type", "label").join(exact.unionByName(by_jw).hint("merge"), "key", "left")
 
 
 def _fuzzy(rows: DataFrame, reg: DataFrame, threshold: float) -> DataFrame:
     """key, entry and c: for each row (key, type, low) the best of each block of the type's entries (entry, type,
     entry_low)."""
-    rows, reg = rows.where("low is not null"), reg.where("entry_low is not null")
+    rows, reg = stored(rows.where("low is not null"), "registry-rows"), reg.where("entry_low is not null")
     blocks = lambda df, n: df.groupBy("type").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(n))
-    both = lambda: blocks(rows, "nl").join(blocks(reg, "nr"), "type")  # noqa: E731  anew for each side: cogroup tells them apart
+    both = stored(blocks(rows, "nl").join(blocks(reg, "nr").hint("merge"), "type"), "registry-blocks")
+    both = F.broadcast(both) if both.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else both.hint("merge")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = rows.join(both(), "type").withColumn("l", F.pmod(F.xxhash64("key", "low"), "nl")).withColumn("r", every("nr"))
-    right = reg.join(both(), "type").withColumn("r", F.pmod(F.xxhash64("entry", "entry_low"), "nr")).withColumn("l", every("nl"))
+    left = rows.join(both, "type").select("key", "type", "low", F.pmod(F.xxhash64("key", "low"), "nl").alias("l"), every("nr").alias("r"))
+    right = reg.join(both, "type").select("entry", "type", "entry_low", F.pmod(F.xxhash64("entry", "entry_low"), "nr").alias("r"), every("nl").alias("l"))
     kinds = rows.schema["key"].dataType.simpleString(), reg.schema["entry"].dataType.simpleString()
 
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
@@ -136,37 +139,65 @@ def _best_entries(names: list[str], entries: list[str], threshold: float) -> lis
     if none reaches the threshold.
 
     No more characters match than both hold, with repeats, so (m / |a| + m / |b| + 1) / 3 for that number m bounds the
-    Jaro part, and the common prefix is known. Entries are compared from the largest bound down, until no bound reaches
-    the best score so far."""
+    Jaro part, and the common prefix is known. Held characters are bits, so m is a count of common bits. It is taken
+    first for groups of entries with equal starts and lengths (bits that any of them has), then for the entries of
+    groups that may reach the threshold; the likeliest entry is scored, and then those whose bound reaches its score."""
     if not names or not entries:
         return [None] * len(names)
-    code = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) for t in (*names, *entries)]
-    length = np.array([len(c) for c in code])
-    _, rank = np.unique(np.concatenate(code), return_inverse=True)
-    # beyond 64 characters some share a column, which only lifts the bound
-    held = np.bincount(np.repeat(np.arange(len(code)), length) * 64 + rank % 64, minlength=64 * len(code)).reshape(-1, 64)
-    held = held[:, held.any(0)].astype(np.uint8 if length.max() < 256 else np.int32)  # sums stay below a length
-    start = np.full((len(code), 4), -1)
-    start[len(names) :] = -2
-    for i, c in enumerate(code):
-        start[i, : min(4, len(c))] = c[:4]
-    own, lengths, theirs = held[len(names) :].T.copy(), length[len(names) :], np.maximum(length[len(names) :], 1)
-    starts, kind = np.unique(start[len(names) :], axis=0, return_inverse=True)
-    out: list[tuple[int, float] | None] = []
-    for i, name in enumerate(names):
-        m = np.minimum(held[i][:, None], own).sum(0, dtype=held.dtype)
-        jaro = np.where((length[i] == 0) & (lengths == 0), 1.0, (m / max(length[i], 1) + m / theirs + 1) / 3)
-        bound = jaro + (np.cumprod(starts == start[i], axis=1).sum(1) * 0.1)[kind] * (1 - jaro)
-        likely = np.flatnonzero(bound >= threshold - 1e-9)
-        best = None
-        for j in likely[np.argsort(-bound[likely], kind="stable")].tolist():
-            if best is not None and bound[j] < best[1] - 1e-9:
-                break
-            c = jaro_winkler_of(name, entries[j])
-            if c >= threshold and (best is None or c > best[1] or c == best[1] and j < best[0]):
-                best = j, c
-        out.append(best)
-    return out
+    place: dict[str, int] = {}  # equal entries: the first counts
+    for j, e in enumerate(entries):
+        place.setdefault(e, j)
+    own = list(dict.fromkeys(names))
+    texts = MaskedTexts(own + list(place))
+    n = len(own)
+    bits, more = texts.held(n)
+    length, start = texts.length, texts.start
+    order = n + np.lexsort((*bits[n:].T, length[n:], *start[n:].T))
+    turn = np.ones(len(order), bool)
+    turn[1:] = (start[order[1:]] != start[order[:-1]]).any(1) | (length[order[1:]] != length[order[:-1]])
+    kind = np.cumsum(turn) - 1
+    k_start, k_length = start[order[turn]], length[order[turn]]
+    head = np.flatnonzero((np.arange(len(order)) - np.flatnonzero(turn)[kind]) % GROUP == 0)
+    g_bits, g_more, g_kind, g_size = np.bitwise_or.reduceat(bits[order], head), np.maximum.reduceat(more[order], head), kind[head], np.diff(head, append=len(order))
+    small = not more.any() and bits.shape[1] <= 3  # then counts fit into a byte
+    found: dict[str, tuple[int, float]] = {}
+
+    def common(x: np.ndarray, y: np.ndarray, x_more: np.ndarray, y_more: np.ndarray) -> np.ndarray:
+        m = np.bitwise_count(x[..., 0] & y[..., 0])
+        m = m if small else m.astype(np.int32)
+        for w in range(1, x.shape[-1]):
+            m += np.bitwise_count(x[..., w] & y[..., w])
+        return m if small else m + np.minimum(x_more, y_more)
+
+    for s in range(0, n, CHUNK):
+        a = np.arange(s, min(n, s + CHUNK))
+        boost = np.cumprod(start[a, None] == k_start, axis=2).sum(2) * 0.1
+        la, lb = length[a, None], k_length[None]
+        need = np.ceil((3 * (threshold - boost) / (1 - boost) - 1) / (1 / np.maximum(la, 1) + 1 / np.maximum(lb, 1)) - 1e-6)
+        need = np.where(la + lb == 0, 0, need).clip(0, 255 if small else 2**31 - 1).astype(np.uint8 if small else np.int64)
+        i, g = np.nonzero(common(bits[a, None], g_bits[None], more[a, None], g_more[None]) >= need[:, g_kind])
+        size = g_size[g]
+        i, e = np.repeat(i, size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - head[g], size)
+        m = common(bits[a[i]], bits[order[e]], more[a[i]], more[order[e]])
+        keep = np.flatnonzero(m >= need[i, kind[e]])
+        i, e, m = i[keep], e[keep], m[keep].astype(np.int64)
+        if not len(i):
+            continue
+        boost, x, y = boost[i, kind[e]], a[i], order[e]
+        jaro = np.where(length[x] + length[y] == 0, 1.0, (m / np.maximum(length[x], 1) + m / np.maximum(length[y], 1) + 1) / 3)
+        bound = jaro + boost * (1 - jaro)
+        by = np.lexsort((-bound, i))
+        top = by[np.flatnonzero(np.diff(i[by], prepend=-1))]
+        floor = np.full(len(a), threshold)
+        floor[i[top]] = np.maximum(threshold, texts.scores(x[top], y[top], floor[i[top]], jaro_winkler_of))
+        near = np.flatnonzero(bound >= floor[i] - 1e-9)
+        x, y, i = x[near], y[near], i[near]
+        score = texts.scores(x, y, floor[i], jaro_winkler_of)
+        at = np.array([place[texts.texts[j]] for j in y.tolist()])
+        for k in np.lexsort((at, -score, x)).tolist():
+            if score[k] >= threshold:
+                found.setdefault(own[x[k]], (int(at[k]), float(score[k])))
+    return [found.get(name) for name in names]
 
 
 def resolve_relationships(relationships: DataFrame, entities: DataFrame, allowed: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] | None = None) -> DataFrame:

@@ -171,6 +171,38 @@ def test_registry_in_blocks(spark, monkeypatch):
     assert seen() == whole
 
 
+def test_registry_builds_no_broadcast_of_rows_or_entries(spark, monkeypatch):
+    reg = spark.range(300).selectExpr("id", "concat('T', id % 2) AS type", "concat('engine part ', id) AS label", "array(concat('alias-', id % 3)) AS aliases")
+    rows = spark.range(300).selectExpr("id AS key", "concat('T', id % 2) AS type", "CASE id % 3 WHEN 0 THEN concat('Engine-part-', id) WHEN 1 THEN concat('ALIAS-', id % 6 % 3) ELSE concat('engine part ', id, 'x') END AS label")
+    plans, write = [], resolve.stored
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(resolve, "stored", lambda df, label: plan(df) or write(df, label))
+    monkeypatch.setattr(resolve, "BROADCAST_ROWS", 0, raising=False)
+    got = resolve.match_registry(rows, reg)
+    seen = got.groupBy("matched_by").count().collect()
+    plan(got)
+    assert {r.matched_by: r["count"] for r in seen} == {"slug": 100, "alias": 100, "fuzzy": 100}
+    assert not [x for x in plans if "BroadcastHashJoin" in x or "BroadcastNestedLoopJoin" in x]
+
+
+def test_best_entries_are_those_of_all_pairs():
+    import random
+
+    from graphspark.functions.similarity import jaro_winkler_of
+
+    r = random.Random(5)
+    for letters, most in (("ab", 6), ("0123456789xyz ", 20), ("αβ é🙂", 64), ("abcdef", 90), ("".join(map(chr, range(0x4E00, 0x5400))), 12)):
+        word = lambda: "".join(r.choice(letters) for _ in range(r.randrange(most + 1)))
+        entries = [word() for _ in range(30)]
+        entries += [e[:2] + e[3:] for e in entries] + entries[:5]
+        names = [r.choice([e + "x", e[::-1], e[1:2] + e[:1] + e[2:], e[:3] + word()]) for e in entries] + ["", "a"]
+        for threshold in (0.95, 0.8, 0.3):
+            got = resolve._best_entries(names, entries, threshold)
+            for name, b in zip(names, got):
+                c, j = max((jaro_winkler_of(name, e), -j) for j, e in enumerate(entries))
+                assert b == ((-j, c) if c >= threshold else None)
+
+
 def test_registry_query_covers_all_parts(spark):
     from graphspark import catalogue
 
